@@ -9,6 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from paperloom.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.sentences import sentence_table
+
+    return sentence_table(table(spark, sf_dir, "paper"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.duplicates import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "paper"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.names import name_variants
+
+    return name_variants(table(spark, sf_dir, "paper"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperloom.llm.bpe import encode_documents
 
@@ -22,7 +40,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p7_ids, p8_found)}
+    return {f.__name__: f for f in (p1_found, p4_found, p5_found, p7_ids, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
