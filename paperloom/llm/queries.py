@@ -27,6 +27,18 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_variants(table(spark, sf_dir, "paper"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.spans import shared_spans
+
+    return shared_spans(table(spark, sf_dir, "paper"))
+
+
+def p6_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.spans import shared_share
+
+    return shared_share(table(spark, sf_dir, "paper"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperloom.llm.bpe import encode_documents
 
@@ -40,7 +52,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p4_found, p5_found, p7_ids, p8_found)}
+    return {f.__name__: f for f in (p1_found, p4_found, p5_found, p6_found, p6_share, p7_ids, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
