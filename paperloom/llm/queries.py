@@ -15,6 +15,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_table(table(spark, sf_dir, "paper"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.languages import mislabelled_blocks
+
+    return mislabelled_blocks(table(spark, sf_dir, "paper"))
+
+
+def p2_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.languages import paper_languages
+
+    return paper_languages(table(spark, sf_dir, "paper"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperloom.llm.duplicates import near_duplicates
 
@@ -52,7 +64,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p4_found, p5_found, p6_found, p6_share, p7_ids, p8_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_papers, p4_found, p5_found, p6_found, p6_share, p7_ids, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
