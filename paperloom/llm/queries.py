@@ -27,6 +27,18 @@ def p2_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paper_languages(table(spark, sf_dir, "paper"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.scans import scan_repairs
+
+    return scan_repairs(table(spark, sf_dir, "paper"))
+
+
+def p3_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.scans import repaired_texts
+
+    return repaired_texts(table(spark, sf_dir, "paper"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperloom.llm.duplicates import near_duplicates
 
@@ -64,7 +76,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_papers, p4_found, p5_found, p6_found, p6_share, p7_ids, p8_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_papers, p3_found, p3_texts, p4_found, p5_found, p6_found, p6_share, p7_ids, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
