@@ -75,8 +75,26 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_item"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.toxicity import found_content
+
+    return found_content(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_rating"))
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.toxicity import content_scores
+
+    return content_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_rating"))
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.toxicity import content_rates
+
+    return content_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_rating"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_papers, p3_found, p3_texts, p4_found, p5_found, p6_found, p6_share, p7_ids, p8_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_papers, p3_found, p3_texts, p4_found, p5_found, p6_found, p6_share, p7_ids, p8_found, p9_found, p9_scores, p9_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
