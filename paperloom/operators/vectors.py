@@ -13,6 +13,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -201,11 +202,32 @@ def first_pairs(vectors: DataFrame, threshold: float, most: int) -> DataFrame:
     return found.orderBy("idx_a", "idx_b").limit(most)
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Cosine of two texts, TF-IDF fitted on just the two (idf of 1 for a shared word, ln 1.5 + 1 for another)."""
-    ta, tb = word_terms(filled(a)), word_terms(filled(b))
+def word_tokens(text: str) -> list[str]:
+    """Words and word pairs of one text, as ``word_counts`` takes them."""
+    if not text.strip():
+        text = BLANK
+    words = [w for w in re.findall(r"\w{2,}", text.lower()) if w not in STOPS]
+    return words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+
+
+STOPS = frozenset(ENGLISH_STOPS)
+
+
+def text_cosine(a: str | None, b: str | None) -> float:
+    """Cosine of two texts, TF-IDF fitted on just the two: an idf of 1 for a shared term, ln 1.5 + 1 for another."""
+    x, y = Counter(word_tokens(a or "")), Counter(word_tokens(b or ""))
+    if not x or not y:
+        return 0.0
     other = float(np.log(3 / 2) + 1)
-    count = lambda terms, t: F.size(F.filter(terms, lambda x: x == t)).cast("double")
-    norm = lambda own, rest: F.sqrt(F.aggregate(F.array_distinct(own), F.lit(0.0), lambda acc, t: acc + F.pow(count(own, t) * F.when(F.array_contains(rest, t), 1.0).otherwise(other), F.lit(2.0))))
-    dot = F.aggregate(F.array_intersect(ta, tb), F.lit(0.0), lambda acc, t: acc + count(ta, t) * count(tb, t))
-    return F.when((F.size(ta) == 0) | (F.size(tb) == 0), 0.0).otherwise(dot / (norm(ta, tb) * norm(tb, ta)))
+    norm = lambda own, rest: sum((n * (1.0 if t in rest else other)) ** 2 for t, n in own.items()) ** 0.5
+    return sum(n * y[t] for t, n in x.items() if t in y) / (norm(x, y) * norm(y, x))
+
+
+def similarity(a: str, b: str) -> Column:
+    """``text_cosine`` of two columns, by Arrow batches."""
+
+    @F.pandas_udf("double")
+    def cosine(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([text_cosine(p, q) for p, q in zip(x, y)], dtype="float64")
+
+    return cosine(a, b)

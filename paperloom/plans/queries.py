@@ -252,7 +252,7 @@ def word_tfidf(s, d):
 @query
 def text_similarity(s, d):
     rows = corpus.papers(s, d, "abstract", "conclusion")
-    return rows.select("paper_idx", F.round(V.similarity(F.col("abstract"), F.col("conclusion")), 4).alias("similarity"))
+    return rows.select("paper_idx", F.round(V.similarity("abstract", "conclusion"), 4).alias("similarity"))
 
 
 @query
