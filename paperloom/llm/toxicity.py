@@ -54,7 +54,7 @@ def patterns() -> dict[str, regex.Pattern]:
         "mixed": regex.compile(r"(?=\w*[a-z])(?=\w*\p{Cyrillic})[\p{L}\p{M}\p{N}]+"),
         "look": regex.compile(r"\p{Cyrillic}+"),
         "signed": regex.compile(r"(?<![\p{L}\p{N}])(?=[\p{L}\p{N}@$€!|]*\p{L})(?=[\p{L}\p{N}@$€!|]*[0134578@$€|])[\p{L}\p{N}@$€!|]{3,}(?![\p{L}\p{N}-])"),
-        "apart": regex.compile(r"(?<![\p{L}\p{N}])\p{L}([ .\-_*·])\p{L}(?:\1\p{L})+(?![\p{L}\p{N}])"),
+        "apart": regex.compile(r"(?<![\p{L}\p{N}])\p{L}([ .\-_*·])\p{L}(?:\1\p{L})+(?![\p{L}\p{N}]|[.\-_*·]\p{L})"),
         "han_apart": regex.compile(r"(?<=\p{Han}) (?=\p{Han})"),
         "letters": regex.compile(r"[^\p{L}]"),
         "latin": regex.compile(r"[a-z]{3}"),
