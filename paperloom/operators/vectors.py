@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,44 +30,53 @@ def filled(text: Column) -> Column:
     return F.when(F.length(F.regexp_replace(text, r"(?U)\s", "")) == 0, F.lit(BLANK)).otherwise(text)
 
 
-def word_terms(text: Column, bigrams: bool = True) -> Column:
-    """Lower-cased words of two and more characters without English stop words, and pairs of what remains."""
-    stops = F.array(*(F.lit(w) for w in ENGLISH_STOPS))
-    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), 0), lambda w: ~F.array_contains(stops, w))
-    if not bigrams:
-        return words
-    pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b)))
-    return F.concat(words, F.coalesce(pairs, F.array().cast("array<string>")))
+STOPS = frozenset(ENGLISH_STOPS)
+WORD = regex.compile(r"[\p{L}\p{N}_]{2,}")
+SPACES = re.compile(r"\s\s+")
 
 
-def word_counts(texts: DataFrame, bigrams: bool = True, blank: bool = True) -> DataFrame:
-    """(idx, term, tf) of words and word pairs; ``texts`` has idx and text. ``blank``: a blank text is one placeholder word."""
-    text = filled(F.col("text")) if blank else F.col("text")
-    return texts.select("idx", F.explode(word_terms(text, bigrams)).alias("term")).groupBy("idx", "term").agg(F.count("*").alias("tf"))
+def word_tokens(text: str, bigrams: bool = True) -> list[str]:
+    """Lower-cased words of two and more characters without English stop words, and pairs of what remains."""
+    words = [w for w in WORD.findall(text.lower()) if w not in STOPS]
+    return words + [f"{a} {b}" for a, b in zip(words, words[1:])] if bigrams else words
 
 
-def char_counts(texts: DataFrame, low: int, high: int) -> DataFrame:
-    """(idx, term, tf) of character n-grams of the lower-cased text, runs of blanks taken as one.
+def counted(texts: DataFrame, terms: Callable[[str], Iterable[str]], blank: bool = True) -> DataFrame:
+    """(idx, term, tf) of ``texts`` (idx, text). ``blank``: a blank text is one placeholder word.
 
-    Slicing a text at every position is quadratic in the JVM's UTF-8 strings, so this is an
-    Arrow map; a text's counts are complete in its row and need no shuffle.
+    Set lookups for stop words and slices at every position are what the JVM's higher-order
+    functions do in quadratic time, so this is an Arrow map; a text's counts are complete in its row.
     """
-    space = re.compile(r"\s\s+")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                ids, terms, counts = [], [], []
+                ids, found, counts = [], [], []
                 for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    t = space.sub(" ", text.lower())
-                    found = Counter(t[k : k + n] for n in range(low, high + 1) for k in range(len(t) - n + 1))
-                    ids += [i] * len(found)
-                    terms += found.keys()
-                    counts += found.values()
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(terms, pa.string()), pa.array(counts, pa.int64())], names=["idx", "term", "tf"])
+                    own = Counter(terms(text or ""))
+                    ids += [i] * len(own)
+                    found += own.keys()
+                    counts += own.values()
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string()), pa.array(counts, pa.int64())], names=["idx", "term", "tf"])
+
+    text = filled(F.col("text")) if blank else F.col("text")
+    return texts.select(F.col("idx").cast("long").alias("idx"), text.alias("text")).mapInArrow(run, "idx long, term string, tf long")
+
+
+def word_counts(texts: DataFrame, bigrams: bool = True, blank: bool = True) -> DataFrame:
+    """Counts of words and word pairs."""
+    return counted(texts, lambda t: word_tokens(t, bigrams), blank)
+
+
+def char_counts(texts: DataFrame, low: int, high: int) -> DataFrame:
+    """Counts of character n-grams of the lower-cased text, runs of blanks taken as one."""
+
+    def grams(text: str) -> Iterator[str]:
+        t = SPACES.sub(" ", text.lower())
+        return (t[k : k + n] for n in range(low, high + 1) for k in range(len(t) - n + 1))
 
-    return texts.select(F.col("idx").cast("long").alias("idx"), filled(F.col("text")).alias("text")).mapInArrow(run, "idx long, term string, tf long")
+    return counted(texts, grams)
 
 
 def vocabulary(counts: DataFrame, features: int) -> DataFrame:
@@ -202,20 +212,9 @@ def first_pairs(vectors: DataFrame, threshold: float, most: int) -> DataFrame:
     return found.orderBy("idx_a", "idx_b").limit(most)
 
 
-def word_tokens(text: str) -> list[str]:
-    """Words and word pairs of one text, as ``word_counts`` takes them."""
-    if not text.strip():
-        text = BLANK
-    words = [w for w in re.findall(r"\w{2,}", text.lower()) if w not in STOPS]
-    return words + [f"{a} {b}" for a, b in zip(words, words[1:])]
-
-
-STOPS = frozenset(ENGLISH_STOPS)
-
-
 def text_cosine(a: str | None, b: str | None) -> float:
     """Cosine of two texts, TF-IDF fitted on just the two: an idf of 1 for a shared term, ln 1.5 + 1 for another."""
-    x, y = Counter(word_tokens(a or "")), Counter(word_tokens(b or ""))
+    x, y = (Counter(word_tokens(t if t and t.strip() else BLANK)) for t in (a, b))
     if not x or not y:
         return 0.0
     other = float(np.log(3 / 2) + 1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, unless they find it where the driver did."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [os.path.abspath(p or ".") for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if os.getcwd() == root or root in known or getattr(spark.sparkContext, "_paperloom_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="paperloom-package-")
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, "paperloom"), "zip", root, "paperloom"))
+    spark.sparkContext._paperloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table: one Parquet file or directory per table."""
+    ship(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
