@@ -203,7 +203,7 @@ def test_language_models():
 
 def test_language_tables(spark):
     good = "The porous membrane limits the flow near the bank. Each sample was kept in the cold room."
-    mixed = "A title of words\nA. Author\n\nAbstract\n" + good + " Das ist nicht so, und wir haben es auch bei der Messung an allen Standorten ohne weitere Anpassung."
+    mixed = "A title of words\nA. Author\n\nAbstract\n" + good + " " + good + " Das ist nicht so, und wir haben es auch bei der Messung an allen Standorten ohne weitere Anpassung."
     rows = spark.createDataFrame([(1, "en", "A title of words", mixed, good, None, None, None), (1, "en", "A title of words", mixed, good, None, None, None), (2, None, None, "", None, None, None, None), (3, "en", None, None, None, None, None, None)], "paper_idx long, language string, title string, full_text string, introduction string, conclusion string, abstract string, results string")
     assert [tuple(r) for r in languages.mislabelled_blocks(rows).collect()] == [(1, 1, "de")]
     papers = {r.paper_idx: r.lang for r in languages.paper_languages(rows).collect()}
