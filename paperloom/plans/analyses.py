@@ -10,7 +10,7 @@ from paperloom.functions.dictionaries import BOILERPLATE_SECTIONS, CAPTION_STOPS
 from paperloom.operators import corpus
 from paperloom.operators import extraction as E
 from paperloom.operators import vectors as V
-from paperloom.operators.clusters import components, key_terms, shared_phrases, ward_clusters
+from paperloom.operators.clusters import components, group_terms, key_terms, shared_phrases, ward_clusters
 from paperloom.session import durable
 
 
@@ -70,10 +70,35 @@ def cluster_summary(items: DataFrame) -> DataFrame:
     return items.groupBy("cluster").agg(F.countDistinct("paper_idx").alias("paper_count"), F.count("*").alias("item_count"), F.concat_ws(",", F.transform(F.sort_array(F.collect_set("paper_idx")), lambda p: p.cast("string"))).alias("papers"))
 
 
-def cluster_texts_of(items: DataFrame, most: int = 200) -> DataFrame:
-    """(idx, text): the members' texts in order, joined; at most ``most`` members speak for a cluster's label."""
-    ranked = items.withColumn("n", F.row_number().over(Window.partitionBy("cluster").orderBy("idx"))).where(F.col("n") <= most)
-    return ranked.groupBy("cluster").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), " ").alias("text")).withColumnRenamed("cluster", "idx")
+def joined(members: DataFrame, *by: str) -> DataFrame:
+    """(by, text): the texts of each group in the order of idx, joined by spaces."""
+    return members.groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), " ").alias("text"))
+
+
+def cluster_terms(items: DataFrame, stops: list[str], top: int, least: int = 1, whole: int = 200) -> DataFrame:
+    """(idx, rank, term, score) per cluster, of the texts of all its members joined.
+
+    Up to ``whole`` members are joined in a row; larger clusters are counted member by member. Both give the same.
+    """
+    large = items.groupBy("cluster").count().where(F.col("count") > whole).select("cluster")
+    few = key_terms(joined(items.join(large, "cluster", "left_anti"), "cluster").withColumnRenamed("cluster", "idx"), stops, top, least)
+    return few.unionByName(group_terms(items.join(large, "cluster", "left_semi"), stops, top, least))
+
+
+def first_sentences(items: DataFrame, least: int, hit) -> DataFrame:
+    """(cluster, hit, first): of the sentences of all members joined, the first for which ``hit`` holds and the first.
+
+    A sentence goes over from one member to the next only where the former has no stop at its end,
+    so only such runs of members are joined.
+    """
+    order = Window.partitionBy("cluster").orderBy("idx")
+    ends = F.col("text").rlike(r"(?U)[.!?。！？]\s*$")
+    starts = items.select("cluster", "idx", ends.alias("ends")).withColumn("starts", F.coalesce(F.lag("ends").over(order), F.lit(True)))
+    runs = starts.select("cluster", "idx", F.max(F.when(F.col("starts"), F.col("idx"))).over(order).alias("run"))
+    parts = joined(items.select("cluster", "idx", "text").join(runs, ["cluster", "idx"]), "cluster", "run").withColumn("parts", T.sentences(F.col("text"), least))
+    found = parts.select("cluster", "run", F.get(F.filter("parts", hit), F.lit(0)).alias("hit"), F.get("parts", F.lit(0)).alias("first"))
+    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("run", c)))[c].alias(c)
+    return found.groupBy("cluster").agg(first("hit"), first("first"))
 
 
 def term_labels(terms: DataFrame, joint: str, missing: str, nodes: DataFrame) -> DataFrame:
@@ -89,14 +114,14 @@ def method_clusters(spark: SparkSession, sf_dir: str, threshold: float = 0.75) -
     parts = method_texts(spark, sf_dir).select("paper_idx", F.posexplode(T.paragraphs(F.col("text"))).alias("pos", "text")).where("length(text) > 100")
     items = clustered(numbered(parts, "paper_idx", "pos").select("idx", "paper_idx", "text"), threshold, 2)
     kept = cluster_summary(items).where("paper_count >= 2")
-    labels = term_labels(key_terms(cluster_texts_of(items), TERM_STOPS_METHOD, 5), " + ", "Unlabeled method cluster", kept)
+    labels = term_labels(cluster_terms(items.join(kept.select("cluster"), "cluster", "left_semi"), TERM_STOPS_METHOD, 5), " + ", "Unlabeled method cluster", kept)
     return kept.join(labels, "cluster").select("cluster", "label", "terms", "paper_count", "item_count", "papers")
 
 
 def intro_clusters(spark: SparkSession, sf_dir: str, threshold: float = 0.72) -> DataFrame:
     """Introductions in clusters, single ones too, with label and the beginning of the first member."""
     items = clustered(intro_texts(spark, sf_dir).withColumn("idx", F.col("paper_idx")), threshold, 1)
-    labels = term_labels(key_terms(cluster_texts_of(items), TERM_STOPS_INTRO, 8, 2), " | ", "Unlabeled cluster", items)
+    labels = term_labels(cluster_terms(items, TERM_STOPS_INTRO, 8, 2), " | ", "Unlabeled cluster", items)
     excerpt = items.groupBy("cluster").agg(F.left(F.min_by("text", "idx"), F.lit(500)).alias("excerpt"))
     return cluster_summary(items).join(labels, "cluster").join(excerpt, "cluster").select("cluster", "label", "terms", "excerpt", "paper_count", "papers")
 
@@ -147,18 +172,17 @@ def problem_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered(rows.select("paper_idx", "section_ord", "pos", F.col("sentence").alias("text")), "paper_idx", "section_ord", "pos").select("idx", "paper_idx", "text")
 
 
-def problem_label(text):
-    parts = T.sentences(text, 15)
-    hit = F.get(F.filter(parts, lambda s: F.exists(F.array(*(F.lit(w) for w in PROBLEM_LABEL_WORDS)), lambda w: F.contains(F.lower(s), w))), F.lit(0))
-    best = F.coalesce(hit, F.get(parts, F.lit(0)))
-    return F.when(best.isNull(), "Unlabeled problem").when(F.length(best) > 120, F.concat(F.left(best, F.lit(117)), F.lit("..."))).otherwise(best)
+def problem_labels(items: DataFrame) -> DataFrame:
+    """(cluster, label): the first sentence with a problem word, else the first."""
+    found = first_sentences(items, 15, lambda s: F.exists(F.array(*(F.lit(w) for w in PROBLEM_LABEL_WORDS)), lambda w: F.contains(F.lower(s), w)))
+    best = F.coalesce("hit", "first")
+    return found.select("cluster", F.when(best.isNull(), "Unlabeled problem").when(F.length(best) > 120, F.concat(F.left(best, F.lit(117)), F.lit("..."))).otherwise(best).alias("label"))
 
 
 def problem_clusters(spark: SparkSession, sf_dir: str, threshold: float = 0.72) -> DataFrame:
     """(cluster, label, paper_count, problem_count, papers)."""
     items = clustered(problem_items(spark, sf_dir), threshold, 1)
-    labels = cluster_texts_of(items).select(F.col("idx").alias("cluster"), problem_label(F.col("text")).alias("label"))
-    return cluster_summary(items).join(labels, "cluster").select("cluster", "label", "paper_count", F.col("item_count").alias("problem_count"), "papers")
+    return cluster_summary(items).join(problem_labels(items), "cluster").select("cluster", "label", "paper_count", F.col("item_count").alias("problem_count"), "papers")
 
 
 def problem_matrix(spark: SparkSession, sf_dir: str, threshold: float = 0.72) -> DataFrame:
@@ -174,15 +198,21 @@ def problem_focus(spark: SparkSession, sf_dir: str, top: int = 10) -> DataFrame:
     return vectors.withColumn("rank", rank).where(F.col("rank") <= top).select(F.col("idx").alias("paper_idx"), F.col("rank").cast("long").alias("rank"), "term", F.round("w", 4).alias("weight"))
 
 
+def caption_labels(items: DataFrame) -> DataFrame:
+    """(cluster, label): the first 50 words of the captions joined, without stop words; the first 50 captions with a word hold them."""
+    tokens = F.filter(F.split(F.lower("text"), r"(?U)\s+"), lambda w: F.length(w) > 0)
+    worded = items.withColumn("n", F.row_number().over(Window.partitionBy("cluster").orderBy(F.when(F.size(tokens) > 0, 0).otherwise(1), "idx"))).where(F.col("n") <= 50)
+    stops = F.array(*(F.lit(w) for w in CAPTION_STOPS))
+    words = F.array_join(F.filter(F.slice(tokens, 1, 50), lambda w: (F.length(w) > 2) & ~F.array_contains(stops, w)), " ")
+    label = F.when(F.length("words") == 0, "Unlabeled figure group").when(F.length("words") > 100, F.concat(F.left("words", F.lit(97)), F.lit("..."))).otherwise(F.col("words"))
+    return joined(worded, "cluster").withColumn("words", words).select("cluster", label.alias("label"))
+
+
 def figure_groups(spark: SparkSession, sf_dir: str, threshold: float = 0.70) -> DataFrame:
     """(cluster, label, paper_count, figure_count, papers): alike captions in several papers."""
     caps = corpus.figures(corpus.papers(spark, sf_dir, "figures")).where("length(caption) > 10").select("paper_idx", "index", F.col("caption").alias("text"))
     items = clustered(numbered(caps, "paper_idx", "index", "text").select("idx", "paper_idx", "text"), threshold, 2)
-    words = F.slice(F.filter(F.split(F.lower("text"), r"(?U)\s+"), lambda w: F.length(w) > 0), 1, 50)
-    stops = F.array(*(F.lit(w) for w in CAPTION_STOPS))
-    joined = F.array_join(F.filter(words, lambda w: (F.length(w) > 2) & ~F.array_contains(stops, w)), " ")
-    label = F.when(F.length(joined) == 0, "Unlabeled figure group").when(F.length(joined) > 100, F.concat(F.left(joined, F.lit(97)), F.lit("..."))).otherwise(joined)
-    labels = cluster_texts_of(items).select(F.col("idx").alias("cluster"), label.alias("label"))
+    labels = caption_labels(items)
     return cluster_summary(items).where("paper_count >= 2").join(labels, "cluster").select("cluster", "label", "paper_count", F.col("item_count").alias("figure_count"), "papers")
 
 
@@ -201,9 +231,8 @@ def question_clusters(spark: SparkSession, sf_dir: str, threshold: float = 0.70)
     """(cluster, kind, summary, paper_count, question_count, papers): convergent (several papers) and unique questions."""
     rows = E.question_sentences(corpus.papers(spark, sf_dir, *SECTIONS)).select("paper_idx", "section_ord", "pos", F.col("sentence").alias("text"))
     items = clustered(numbered(rows, "paper_idx", "section_ord", "pos").select("idx", "paper_idx", "text"), threshold, 1)
-    parts = T.sentences(F.col("text"), 15)
-    summary = F.coalesce(F.get(F.filter(parts, lambda s: (F.length(s) > 30) & (F.length(s) < 150)), F.lit(0)), F.left(F.get(parts, F.lit(0)), F.lit(150)), F.lit("Unlabeled question"))
-    labels = cluster_texts_of(items).select(F.col("idx").alias("cluster"), summary.alias("summary"))
+    summary = F.coalesce(F.col("hit"), F.left("first", F.lit(150)), F.lit("Unlabeled question"))
+    labels = first_sentences(items, 15, lambda s: (F.length(s) > 30) & (F.length(s) < 150)).select("cluster", summary.alias("summary"))
     counted = cluster_summary(items).withColumn("kind", F.when(F.col("paper_count") >= 2, "convergent").otherwise("unique"))
     return counted.join(labels, "cluster").select("cluster", "kind", "summary", "paper_count", F.col("item_count").alias("question_count"), "papers")
 
