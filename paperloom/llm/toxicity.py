@@ -183,9 +183,6 @@ class Classifiers:
         sentences = [units(t) for t in texts]
         rows = Rows([indices(s, self.masked) for some in sentences for s in some])
         found = {k: sigmoid(rows.times(w, b)) for k, (w, b) in self.weights.items()}
-        if len(found) > 1:  # a sentence speaks for its likeliest category only
-            top = np.max(list(found.values()), axis=0)
-            found = {k: np.where(z >= top, z, np.minimum(z, 0.49)) for k, z in found.items()}
         out, at = [], 0
         for some in sentences:
             out.append(tuple(float(found[c][at : at + len(some)].max()) if some and c in found else 0.0 for c in CATEGORIES))
