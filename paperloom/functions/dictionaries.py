@@ -124,11 +124,33 @@ FIGURE_TYPES = [
 ]
 
 # Stop words of the two key-term rankings and of caption labels.
-TERM_STOPS_SHARED = "the a an is are was were be been being have has had do does did will would could should may might can shall to of in for on with at by from as into through during before after above below between and but or nor not so than too very this that these those it its we they them their our which who what when where how all each every both few more most other some such no only also used using based".split()
-TERM_STOPS_METHOD = TERM_STOPS_SHARED + "my his her he she whom".split()
-TERM_STOPS_INTRO = TERM_STOPS_SHARED + "however although therefore thus hence due since well".split()
+TERM_STOPS_METHOD = """
+the a an is are was were be been being have has had do does did will would could should may might can shall to of in for on with at by from as into through during before after above below between
+and but or nor not so than too very this that these those it its we they them their our
+which who what when where how all each every both few more most other some such no only also used using based
+my his her he she whom
+""".split()
+TERM_STOPS_INTRO = """
+the a an is are was were be been being have has had do does did will would could should may might can shall to of in for on with at by from as into through during before after above below between
+and but or nor not so than too very this that these those it its we they them their our
+which who what when where how all each every both few more most other some such no only also used using based
+however although therefore thus hence due since well
+""".split()
 CAPTION_STOPS = "a an the of in on at to for with and or is are was were be by from as this that it its".split()
 
+# Words of key terms; arXiv ids as URL, prefixed, bare (new and old style), and their version.
+TERM_WORDS = r"[a-zA-Z]{2,}(?:-[a-zA-Z]{2,})*"
+ARXIV_URL = r"arxiv\.org/(?:abs|pdf)/([^/\s?#]+)"
+ARXIV_PREFIX = r"arXiv:(\S+)"
+ARXIV_BARE = r"^(\d{4}\.\d{4,5}(?:v\d+)?|[a-zA-Z.-]+/\d{7}(?:v\d+)?)$"
+ARXIV_VERSION = r"v\d+$"
+# DOI, arXiv number and year at the head of a text; what a title line doesn't begin with; spellings of a figure's number.
+HEAD_DOI = r"(?:DOI|doi):\s*(\S+)"
+HEAD_ARXIV = r"arXiv:(\d+\.\d+)"
+HEAD_YEAR = r"(?:©|Copyright|Published).*?(20\d{2})"
+NO_TITLE = ["http", "doi:", "DOI:", "arXiv:"]
+FIGURE_NAMES = ["Figure ", "Fig. ", "Figure", "Fig", "图", "图 "]
+
 # The common English stop list of 318 words.
 ENGLISH_STOPS = """
 a about above across after afterwards again against all almost alone along already also although always am among amongst amoungst amount an and

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
-from paperloom.functions.dictionaries import FIGURE_CAPTION_EN, FIGURE_CAPTION_ZH, FILL_WORDS, HEADINGS, TABLE_CAPTION_EN, TABLE_CAPTION_ZH
+from paperloom.functions.dictionaries import FIGURE_CAPTION_EN, FIGURE_CAPTION_ZH, FIGURE_NAMES, FILL_WORDS, HEAD_ARXIV, HEAD_DOI, HEAD_YEAR, HEADINGS, NO_TITLE, TABLE_CAPTION_EN, TABLE_CAPTION_ZH
 
 
 def heading(line: Column, longest: int) -> Column:
@@ -70,7 +73,7 @@ def figure_discussions(rows: DataFrame, delimiter: str = "\n\n") -> DataFrame:
     """(paper_idx, index, pos, paragraph): paragraphs of full_text that name a figure's number in one of six spellings."""
     numbered = rows.select("paper_idx", "full_text", F.explode(F.array_distinct(F.transform("figures", lambda f: f["index"]))).alias("index")).where("index IS NOT NULL")
     blocks = numbered.select("paper_idx", F.col("index").cast("long").alias("index"), F.posexplode(F.split("full_text", delimiter)).alias("pos", "block"))
-    names = F.array(*(F.concat(F.lit(s), F.col("index").cast("string")) for s in ("Figure ", "Fig. ", "Figure", "Fig", "图", "图 ")))
+    names = F.array(*(F.concat(F.lit(s), F.col("index").cast("string")) for s in FIGURE_NAMES))
     return blocks.where(F.exists(names, lambda n: F.contains("block", n))).select("paper_idx", "index", F.col("pos").cast("long").alias("pos"), T.strip(F.col("block")).alias("paragraph"))
 
 
@@ -79,17 +82,20 @@ def metadata(rows: DataFrame) -> DataFrame:
     text = F.col("full_text")
     head = F.left(text, F.lit(2000))
     lines = F.transform(F.slice(F.split(text, "\n"), 1, 30), T.strip)
-    skipped = lambda s: F.startswith(s, F.lit("http")) | F.startswith(s, F.lit("doi:")) | F.startswith(s, F.lit("DOI:")) | F.startswith(s, F.lit("arXiv:"))
+    skipped = lambda s: reduce(or_, (F.startswith(s, F.lit(x)) for x in NO_TITLE))
     title = F.get(F.filter(lines, lambda s: (F.length(s) > 20) & ~skipped(s)), F.lit(0))
     found = lambda pattern: F.nullif(F.regexp_extract(head, pattern, 1), F.lit(""))
-    arxiv = found(r"(?U)arXiv:(\d+\.\d+)")
+    arxiv = found("(?U)" + HEAD_ARXIV)
     source = F.when(arxiv.isNotNull() & ~F.startswith("source", F.lit("10.")), F.concat(F.lit("arXiv:"), arxiv)).otherwise(F.col("source"))
-    return rows.select("paper_idx", title.alias("title"), found(r"(?U)(?:DOI|doi):\s*(\S+)").alias("doi"), source.alias("source"), found(r"(?U)(?:©|Copyright|Published).*?(20\d{2})").cast("int").alias("year"))
+    return rows.select("paper_idx", title.alias("title"), found("(?U)" + HEAD_DOI).alias("doi"), source.alias("source"), found("(?U)" + HEAD_YEAR).cast("int").alias("year"))
 
 
 def deduplicated(rows: DataFrame, order: list[str], loaded: DataFrame | None = None) -> DataFrame:
-    """The first row of each source in load order, without sources that are already loaded."""
+    """The first row of each source in load order, without sources that are already loaded.
+
+    The first row is an aggregate, so of a source that holds a third of all rows one row a task is shuffled.
+    """
     if loaded is not None:
         rows = rows.join(loaded.select("source").distinct(), "source", "left_anti")
-    first = F.row_number().over(Window.partitionBy("source").orderBy(*order))
-    return rows.withColumn("_first", first).where("_first = 1").drop("_first")
+    first = rows.groupBy("source").agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("first"))
+    return first.select(*(F.col("first")[c].alias(c) for c in rows.columns))

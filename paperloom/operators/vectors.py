@@ -1,9 +1,13 @@
 """TF-IDF vectors and exact cosine joins.
 
-Vectors are long relations (idx, term, w) with unit length, or one row a text with arrays. Joins
-never compare all pairs: the threshold join meets on the rare terms of each vector's prefix
-(a pair of cosine t shares a term of both prefixes, by Cauchy-Schwarz), and the join for the first
-k pairs in scan order reads blocks of rows from the front until it has them.
+A vector is a row (idx, terms ARRAY<BIGINT>, weights ARRAY<DOUBLE>) of unit length, its terms
+ascending. ``fit`` makes the vocabulary in one pass whose tasks sum their counts before the shuffle;
+``transform`` is a narrow map that emits kept terms only, so no n-gram of a text is ever written.
+
+Joins are exact. The threshold join meets on the rare terms of each vector's prefix (a pair of
+cosine t shares a term of both prefixes, by Cauchy-Schwarz) or multiplies sparse blocks of rows; the
+number of meetings decides. The join for the first k pairs in reading order holds a front of bounded
+size against all rows, and where that has too few pairs the threshold join makes the others.
 """
 
 from __future__ import annotations
@@ -11,19 +15,24 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.dictionaries import ENGLISH_STOPS
 from paperloom.session import durable
 
 BLANK = "placeholder"
-BLOCK = 512  # rows of a block; two dense blocks are in memory at a time
+BLOCK = 1024  # rows of a block of the block join
+FRONTS = (64, 512, 4096)  # rows of the fronts that look for the first pairs
+HOT_TERM = 20_000  # postings of a term beyond which its meetings are dealt to several tasks
+HELD_TERMS = 1_000_000  # different terms that a task counts before it hands them on
 
 
 def filled(text: Column) -> Column:
@@ -33,6 +42,7 @@ def filled(text: Column) -> Column:
 STOPS = frozenset(ENGLISH_STOPS)
 WORD = regex.compile(r"[\p{L}\p{N}_]{2,}")
 SPACES = re.compile(r"\s\s+")
+Tokens = Callable[[str], Iterable[str]]
 
 
 def word_tokens(text: str, bigrams: bool = True) -> list[str]:
@@ -41,12 +51,27 @@ def word_tokens(text: str, bigrams: bool = True) -> list[str]:
     return words + [f"{a} {b}" for a, b in zip(words, words[1:])] if bigrams else words
 
 
-def counted(texts: DataFrame, terms: Callable[[str], Iterable[str]], blank: bool = True) -> DataFrame:
-    """(idx, term, tf) of ``texts`` (idx, text). ``blank``: a blank text is one placeholder word.
+def char_tokens(text: str, low: int, high: int) -> list[str]:
+    """Character n-grams of the lower-cased text, runs of blanks taken as one."""
+    t = SPACES.sub(" ", text.lower())
+    return [t[k : k + n] for n in range(low, high + 1) for k in range(len(t) - n + 1)]
 
-    Set lookups for stop words and slices at every position are what the JVM's higher-order
-    functions do in quadratic time, so this is an Arrow map; a text's counts are complete in its row.
-    """
+
+def words(bigrams: bool = True) -> Tokens:
+    return partial(word_tokens, bigrams=bigrams)
+
+
+def chars(low: int, high: int) -> Tokens:
+    return partial(char_tokens, low=low, high=high)
+
+
+def prepared(texts: DataFrame, blank: bool) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return texts.select(F.col("idx").cast("long").alias("idx"), (filled(text) if blank else text).alias("text"))
+
+
+def counted(texts: DataFrame, tokens: Tokens, blank: bool = True) -> DataFrame:
+    """(idx, term, tf) of ``texts`` (idx, text). ``blank``: a blank text is one placeholder word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,83 +79,221 @@ def counted(texts: DataFrame, terms: Callable[[str], Iterable[str]], blank: bool
                 part = batch.slice(at, 500)
                 ids, found, counts = [], [], []
                 for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    own = Counter(terms(text or ""))
+                    own = Counter(tokens(text))
                     ids += [i] * len(own)
                     found += own.keys()
                     counts += own.values()
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string()), pa.array(counts, pa.int64())], names=["idx", "term", "tf"])
 
-    text = filled(F.col("text")) if blank else F.col("text")
-    return texts.select(F.col("idx").cast("long").alias("idx"), text.alias("text")).mapInArrow(run, "idx long, term string, tf long")
+    return prepared(texts, blank).mapInArrow(run, "idx long, term string, tf long")
 
 
 def word_counts(texts: DataFrame, bigrams: bool = True, blank: bool = True) -> DataFrame:
     """Counts of words and word pairs."""
-    return counted(texts, lambda t: word_tokens(t, bigrams), blank)
+    return counted(texts, words(bigrams), blank)
 
 
 def char_counts(texts: DataFrame, low: int, high: int) -> DataFrame:
-    """Counts of character n-grams of the lower-cased text, runs of blanks taken as one."""
+    """Counts of character n-grams."""
+    return counted(texts, chars(low, high))
+
 
-    def grams(text: str) -> Iterator[str]:
-        t = SPACES.sub(" ", text.lower())
-        return (t[k : k + n] for n in range(low, high + 1) for k in range(len(t) - n + 1))
+def corpus_counts(texts: DataFrame, tokens: Tokens, blank: bool = True) -> DataFrame:
+    """(term, ctf, df) over all texts, and a row of NULL term whose df is the number of texts; summed in each task first."""
 
-    return counted(texts, grams)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        texts_with: Counter = Counter()
+        n = 0
 
+        def emitted() -> pa.RecordBatch:
+            known = list(total)
+            return pa.RecordBatch.from_arrays([pa.array(known, pa.string()), pa.array(total.values(), pa.int64()), pa.array([texts_with[t] for t in known], pa.int64())], names=["term", "ctf", "df"])
 
-def vocabulary(counts: DataFrame, features: int) -> DataFrame:
+        for batch in batches:
+            for text in batch.column(1).to_pylist():
+                own = Counter(tokens(text))
+                total.update(own)
+                texts_with.update(own.keys())
+                n += 1
+                if len(total) > HELD_TERMS:
+                    yield emitted()
+                    total.clear()
+                    texts_with.clear()
+        yield emitted()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([0], pa.int64()), pa.array([n], pa.int64())], names=["term", "ctf", "df"])
+
+    parts = prepared(texts, blank).mapInArrow(run, "term string, ctf long, df long")
+    return parts.groupBy("term").agg(F.sum("ctf").alias("ctf"), F.sum("df").alias("df"))
+
+
+def vocabulary(texts: DataFrame, tokens: Tokens, features: int, blank: bool = True) -> DataFrame:
     """(term, ctf, df) of the ``features`` terms of highest corpus count, ties by term."""
-    return counts.groupBy("term").agg(F.sum("tf").alias("ctf"), F.count("*").alias("df")).orderBy(F.desc("ctf"), "term").limit(features)
+    return corpus_counts(texts, tokens, blank).where("term IS NOT NULL").orderBy(F.desc("ctf"), "term").limit(features)
 
 
-def tfidf(texts: DataFrame, counts: DataFrame, features: int) -> DataFrame:
-    """(idx, term, w): unit vectors over the vocabulary; smoothed idf ``ln((1 + n) / (1 + df)) + 1``."""
-    counts = durable(counts)
-    total = texts.select("idx").distinct().count()
-    idf = F.log(F.lit(1.0 + total) / (F.col("df") + 1.0)) + 1.0
-    raw = counts.join(F.broadcast(vocabulary(counts, features)), "term").select("idx", "term", (F.col("tf") * idf).alias("raw"))  # at most ``features`` rows
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("idx")))
-    return raw.select("idx", "term", (F.col("raw") / norm).alias("w"))
+@dataclass(frozen=True)
+class Vocabulary:
+    """The terms of a fit, rarest first (a term's number is its place), their weights, and how texts are cut into terms."""
 
+    terms: list[str]
+    idf: np.ndarray
+    tokens: Tokens
+    blank: bool
 
-def as_arrays(vectors: DataFrame) -> DataFrame:
-    """(idx, terms ARRAY<BIGINT>, weights): terms as hashes, ascending."""
-    row = F.sort_array(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "w")))
-    return vectors.groupBy("idx").agg(row.alias("r")).select("idx", F.transform("r", lambda x: x["t"]).alias("terms"), F.transform("r", lambda x: x["w"]).alias("weights"))
 
+def fit(texts: DataFrame, tokens: Tokens, features: int, blank: bool = True) -> Vocabulary:
+    """The ``features`` terms of highest corpus count with the smoothed idf ``ln((1 + n) / (1 + df)) + 1``; so many rows reach the driver."""
+    counts = corpus_counts(texts, tokens, blank).orderBy(F.col("term").isNotNull(), F.desc("ctf"), "term").limit(features + 1).collect()
+    n = sum(r.df for r in counts if r.term is None)
+    kept = sorted((r.df, r.term) for r in counts if r.term is not None)
+    return Vocabulary([t for _, t in kept], np.log((1.0 + n) / (1.0 + np.array([d for d, _ in kept], np.float64))) + 1.0, tokens, blank)
+
+
+def transform(texts: DataFrame, known: Vocabulary) -> DataFrame:
+    """(idx, terms, weights): unit vectors of texts over a fitted vocabulary; a text without any of its terms has no row."""
+    shared = texts.sparkSession.sparkContext.broadcast(known)  # at most ``features`` terms
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = shared.value
+        number = {t: i for i, t in enumerate(fitted.terms)}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                ids, sizes, found, weights = [], [0], [], []
+                for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    own = np.array([number[t] for t in fitted.tokens(text) if t in number], np.int64)
+                    if len(own):
+                        own, tf = np.unique(own, return_counts=True)
+                        w = tf * fitted.idf[own]
+                        ids.append(i)
+                        sizes.append(len(own))
+                        found.append(own)
+                        weights.append(w / np.sqrt(w @ w))
+                offsets = pa.array(np.cumsum(sizes), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(v) if v else np.zeros(0, k))) for v, k in ((found, np.int64), (weights, np.float64))]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *lists], names=["idx", "terms", "weights"])
+
+    return prepared(texts, known.blank).mapInArrow(run, "idx long, terms array<long>, weights array<double>")
+
+
+def vectors(texts: DataFrame, tokens: Tokens, features: int, blank: bool = True) -> DataFrame:
+    """(idx, terms, weights) of the texts over the vocabulary of the same texts."""
+    return transform(texts, fit(texts, tokens, features, blank))
+
+
+def tfidf(texts: DataFrame, tokens: Tokens, features: int, blank: bool = True) -> DataFrame:
+    """(idx, term, w): the vectors in long form, a row a term."""
+    known = fit(texts, tokens, features, blank)
+    names = texts.sparkSession.createDataFrame(list(enumerate(known.terms)), "number long, term string")
+    rows = transform(texts, known).select("idx", F.explode(F.arrays_zip("terms", "weights")).alias("x"))
+    return rows.select("idx", F.col("x.terms").alias("number"), F.col("x.weights").alias("w")).join(F.broadcast(names), "number").select("idx", "term", "w")  # at most ``features`` rows
 
-def cosine_pairs(vectors: DataFrame, threshold: float, above: bool = False, method: str | None = None) -> DataFrame:
-    """(idx_a, idx_b, similarity): all pairs idx_a < idx_b of at least (``above``: more than) ``threshold``, exactly.
 
-    ``method`` is "prefix" (candidates that share a rare term, then their dot products) or "blocks"
-    (matrix products of row blocks); both give the same pairs. By default the number of candidates
-    that the prefix terms would make decides: where most pairs are candidates anyway, products are cheaper.
+def embedded(texts: DataFrame, model: Callable[[list[str]], np.ndarray], batch_rows: int = 256) -> DataFrame:
+    """(idx, terms, weights): dense unit vectors of any model that maps a list of texts to a matrix, in the form that the joins take.
+
+    Blank and NULL texts are the placeholder word; a row of zeros (or not finite) has no vector.
     """
-    vectors = vectors.select(F.col("idx").cast("long").alias("idx"), "term", "w")
-    df = vectors.groupBy("term").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("idx").orderBy("df", "term").rowsBetween(0, Window.unboundedFollowing)
-    rest = F.sqrt(F.sum(F.col("w") * F.col("w")).over(order))  # length of the vector from this term on
-    prefix = durable(vectors.join(df, "term").withColumn("rest", rest).where(F.col("rest") >= threshold - 1e-9).where("df > 1").select("idx", "term"))
-    rows = durable(as_arrays(vectors))
-    n = rows.count()
-    if method is None:
-        met = prefix.groupBy("term").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] or 0
-        method = "blocks" if met > n * n / 16 else "prefix"
-    return (block_products if method == "blocks" else prefix_products)(rows, prefix, n, threshold, above)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, batch_rows):
+                part = batch.slice(at, batch_rows)
+                matrix = np.asarray(model(part.column(1).to_pylist()), np.float64).reshape(part.num_rows, -1)
+                norm = np.sqrt((matrix * matrix).sum(1))
+                good = np.isfinite(norm) & (norm > 0)
+                unit = matrix[good] / norm[good, None]
+                offsets = pa.array(np.arange(len(unit) + 1) * matrix.shape[1], pa.int32())
+                terms = np.tile(np.arange(matrix.shape[1]), len(unit))
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(good)), pa.ListArray.from_arrays(offsets, pa.array(terms, pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(unit.ravel()))], names=["idx", "terms", "weights"])
+
+    return prepared(texts, True).mapInArrow(run, "idx long, terms array<long>, weights array<double>")
+
+
+def as_arrays(long: DataFrame) -> DataFrame:
+    """(idx, terms, weights) of vectors in long form; terms as hashes."""
+    row = F.sort_array(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "w")))
+    return long.groupBy(F.col("idx").cast("long").alias("idx")).agg(row.alias("r")).select("idx", F.transform("r", lambda x: x["t"]).alias("terms"), F.transform("r", lambda x: x["w"]).alias("weights"))
 
 
 def kept_pairs(s: np.ndarray, threshold: float, above: bool) -> np.ndarray:
     return s > threshold if above else s >= threshold - 1e-12
 
 
-def prefix_products(rows: DataFrame, prefix: DataFrame, n: int, threshold: float, above: bool) -> DataFrame:
-    pairs = prefix.select(F.col("idx").alias("idx_a"), "term").join(prefix.select(F.col("idx").alias("idx_b"), "term"), "term").where("idx_a < idx_b").select("idx_a", "idx_b").distinct()
+class Postings:
+    """Sparse rows by term; products of a row with all of them."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray):
+        order = np.argsort(terms, kind="stable")
+        self.ids, self.known = ids, np.unique(terms)
+        self.rows, self.weights = np.repeat(np.arange(len(ids)), sizes)[order].astype(np.int32), weights[order]
+        self.starts = np.r_[np.searchsorted(terms[order], self.known), len(terms)]
+
+    def products(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        if not len(self.known) or not len(terms):
+            return np.zeros(len(self.ids))
+        at = np.minimum(np.searchsorted(self.known, terms), len(self.known) - 1)
+        hit = self.known[at] == terms
+        low, high = self.starts[at[hit]], self.starts[at[hit] + 1]
+        sizes = high - low
+        where = np.repeat(low - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        return np.bincount(self.rows[where], self.weights[where] * np.repeat(weights[hit], sizes), len(self.ids))
+
+
+def list_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, values) of a list column."""
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.r_[0, np.cumsum(sizes)], column.flatten().to_numpy()
+
+
+PAIR = "idx_a long, idx_b long, similarity double"
+
+
+def cosine_pairs(rows: DataFrame, threshold: float, above: bool = False, method: str | None = None, hot_term: int = HOT_TERM) -> DataFrame:
+    """(idx_a, idx_b, similarity): all pairs idx_a < idx_b of at least (``above``: more than) ``threshold``, exactly.
+
+    ``method`` is "prefix" (candidates that share a rare term, bounded by what their other terms can
+    add, then their dot products) or "blocks" (products of sparse blocks of rows); both give the
+    same pairs. By default the number of meetings on prefix terms decides: where there are more of
+    them than pairs of rows, products are cheaper.
+    """
+    rows = durable(rows)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (offsets, terms), (_, weights) = list_parts(batch.column(1)), list_parts(batch.column(2))
+            ends = np.repeat(offsets[1:], np.diff(offsets))
+            sums = np.r_[0, np.cumsum(weights * weights)]
+            from_here, after = np.sqrt(np.maximum(sums[ends] - sums[:-1], 0)), np.sqrt(np.maximum(sums[ends] - sums[1:], 0))
+            keep = from_here >= threshold - 1e-6
+            ids = np.repeat(batch.column(0).to_numpy(), np.diff(offsets))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(terms[keep]), pa.array(weights[keep]), pa.array(after[keep])], names=["idx", "term", "w", "after"])
+
+    prefix = durable(rows.mapInArrow(prefixes, "idx long, term long, w double, after double"))
+    counts = prefix.groupBy("term").count()
+    if method is None:
+        n = rows.count()
+        met = counts.agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] or 0
+        method = "blocks" if met > n * n / 2 else "prefix"
+    if method == "blocks":
+        return block_products(rows, threshold, above)
+    return prefix_products(rows, prefix, counts, threshold, above, hot_term)
+
+
+def prefix_products(rows: DataFrame, prefix: DataFrame, counts: DataFrame, threshold: float, above: bool, hot_term: int) -> DataFrame:
+    # a hot term's postings are dealt to tasks on one side and copied to them on the other
+    hot = counts.where(F.col("count") > hot_term).select("term", F.ceil(F.col("count") / hot_term).cast("int").alias("salts"))
+    salted = prefix.join(hot, "term", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    left = salted.select("term", F.pmod(F.xxhash64("idx"), F.col("salts")).cast("int").alias("salt"), F.col("idx").alias("idx_a"), F.col("w").alias("wa"), F.col("after").alias("fa"))
+    right = salted.select("term", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("idx").alias("idx_b"), F.col("w").alias("wb"), F.col("after").alias("fb"))
+    met = left.join(right, ["term", "salt"]).where("idx_a < idx_b").groupBy("idx_a", "idx_b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sure"), F.min(F.col("fa") * F.col("fb")).alias("open"))
+    pairs = met.where(F.col("sure") + F.col("open") >= threshold - 1e-6).select("idx_a", "idx_b")
 
     def dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.zeros(batch.num_rows)
-            lists = [(batch.column(i).offsets.to_numpy(), batch.column(i).values.to_numpy()) for i in range(2, 6)]
+            lists = [list_parts(batch.column(i)) for i in range(2, 6)]
             for k in range(batch.num_rows):
                 ta, wa, tb, wb = (v[o[k] : o[k + 1]] for o, v in lists)
                 at = np.minimum(np.searchsorted(ta, tb), len(ta) - 1)
@@ -139,11 +302,11 @@ def prefix_products(rows: DataFrame, prefix: DataFrame, n: int, threshold: float
 
     a = rows.select(F.col("idx").alias("idx_a"), F.col("terms").alias("ta"), F.col("weights").alias("wa"))
     b = rows.select(F.col("idx").alias("idx_b"), F.col("terms").alias("tb"), F.col("weights").alias("wb"))
-    return pairs.join(a, "idx_a").join(b, "idx_b").select("idx_a", "idx_b", "ta", "wa", "tb", "wb").mapInArrow(dots, "idx_a long, idx_b long, similarity double")
+    return pairs.join(a, "idx_a").join(b, "idx_b").select("idx_a", "idx_b", "ta", "wa", "tb", "wb").mapInArrow(dots, PAIR)
 
 
-def block_products(rows: DataFrame, prefix: DataFrame, n: int, threshold: float, above: bool) -> DataFrame:
-    blocks = max(1, -(-n // BLOCK))
+def block_products(rows: DataFrame, threshold: float, above: bool) -> DataFrame:
+    blocks = max(1, -(-rows.count() // BLOCK))
     block = F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int")
     cells = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     cells = cells.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
@@ -151,65 +314,56 @@ def block_products(rows: DataFrame, prefix: DataFrame, n: int, threshold: float,
     def product(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         low, high = table["low"][0].as_py(), table["high"][0].as_py()
-        ids, where = table["idx"].to_numpy(), table["block"].to_numpy()
-        lists, weights = table["terms"].chunk(0), table["weights"].chunk(0)
-        terms, column = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-        dense = np.zeros((len(ids), max(1, len(terms))))
-        dense[np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy())), column] = weights.flatten().to_numpy()
-        left, right = np.flatnonzero(where == low), np.flatnonzero(where == high)
-        s = dense[left] @ dense[right].T
-        x, y = np.nonzero(kept_pairs(s, threshold, above))
-        a, b, s = ids[left[x]], ids[right[y]], s[x, y]
-        keep = a < b if low == high else a != b
-        a, b, s = a[keep], b[keep], s[keep]
-        return pa.table({"idx_a": pa.array(np.minimum(a, b)), "idx_b": pa.array(np.maximum(a, b)), "similarity": pa.array(s)})
-
-    return cells.groupBy("low", "high").applyInArrow(product, "idx_a long, idx_b long, similarity double")
-
-
-def first_pairs(vectors: DataFrame, threshold: float, most: int) -> DataFrame:
+        left, right = (table.filter(pa.array(table["block"].to_numpy() == k)).combine_chunks() for k in (low, high))
+        (offsets, terms), (_, weights) = (list_parts(left[c].combine_chunks()) for c in ("terms", "weights"))
+        index = Postings(left["idx"].to_numpy(), np.diff(offsets), terms, weights)
+        (offsets, terms), (_, weights) = (list_parts(right[c].combine_chunks()) for c in ("terms", "weights"))
+        out: tuple[list, list, list] = ([], [], [])
+        for k, j in enumerate(right["idx"].to_numpy()):
+            s = index.products(terms[offsets[k] : offsets[k + 1]], weights[offsets[k] : offsets[k + 1]])
+            keep = kept_pairs(s, threshold, above) & (index.ids < j if low == high else index.ids != j)
+            if keep.any():
+                own = index.ids[keep]
+                out[0].append(np.minimum(own, j))
+                out[1].append(np.maximum(own, j))
+                out[2].append(s[keep])
+        kinds = (np.int64, np.int64, np.float64)
+        return pa.table({n: pa.array(np.concatenate(v) if v else np.zeros(0, k)) for n, v, k in zip(("idx_a", "idx_b", "similarity"), out, kinds)})
+
+    return cells.groupBy("low", "high").applyInArrow(product, PAIR)
+
+
+def first_pairs(rows: DataFrame, threshold: float, most: int, fronts: tuple[int, ...] = FRONTS) -> DataFrame:
     """(idx_a, idx_b, similarity): of the pairs at or above the threshold the first ``most`` in the order of (idx_a, idx_b).
 
-    Blocks of rows from the front, each larger than the one before, are held against all rows, a
-    pass whose cost grows with the rows and not with their square, until there are enough pairs.
+    A front of rows, the largest of 4,096, goes sparse to all tasks and is held against all rows.
+    Usually it has the pairs; where it hasn't, the threshold join over all rows makes them.
     """
-    spark = vectors.sparkSession
-    rows = durable(as_arrays(vectors))
-    found, last, size = None, None, 64
-    while True:
-        front = rows if last is None else rows.where(F.col("idx") > last)
-        block = front.orderBy("idx").limit(size).collect()  # a block of bounded size
-        if not block:
-            break
-        ids = np.array([r.idx for r in block], np.int64)
-        terms = {t: i for i, t in enumerate(sorted({t for r in block for t in r.terms}))}
-        dense = np.zeros((len(terms) + 1, len(block)))
-        for k, r in enumerate(block):
-            dense[[terms[t] for t in r.terms], k] = r.weights
-        shared = spark.sparkContext.broadcast((ids, np.array(list(terms), np.int64), dense))
+    spark = rows.sparkSession
+    rows = durable(rows)
+    for size in fronts:
+        front = rows.orderBy("idx").limit(size).collect()  # of bounded number
+        ids = np.array([r.idx for r in front], np.int64)
+        joined = lambda c, k: np.array([x for r in front for x in r[c]], k)
+        shared = spark.sparkContext.broadcast(Postings(ids, np.array([len(r.terms) for r in front], np.int64), joined("terms", np.int64), joined("weights", np.float64)))
 
         def dots(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own, known, matrix = shared.value
+            index = shared.value
             for batch in batches:
+                (offsets, terms), (_, weights) = list_parts(batch.column(1)), list_parts(batch.column(2))
                 out: tuple[list, ...] = ([], [], [])
-                for j, t, w in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    t = np.array(t, np.int64)
-                    at = np.minimum(np.searchsorted(known, t), len(known) - 1)
-                    s = (np.array(w) * (known[at] == t)) @ matrix[at]
-                    for k in np.flatnonzero((s >= threshold - 1e-12) & (own < j)):
-                        out[0].append(int(own[k]))
-                        out[1].append(j)
-                        out[2].append(float(s[k]))
+                for k, j in enumerate(batch.column(0).to_numpy()):
+                    s = index.products(terms[offsets[k] : offsets[k + 1]], weights[offsets[k] : offsets[k + 1]])
+                    for i in np.flatnonzero(kept_pairs(s, threshold, False) & (index.ids < j)):
+                        out[0].append(int(index.ids[i]))
+                        out[1].append(int(j))
+                        out[2].append(float(s[i]))
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["idx_a", "idx_b", "similarity"])
 
-        part = durable(front.select(F.col("idx").cast("long"), "terms", "weights").mapInArrow(dots, "idx_a long, idx_b long, similarity double").orderBy("idx_a", "idx_b").limit(most))
-        found = part if found is None else found.unionByName(part)
-        last, size = int(ids.max()), min(size * 4, 4096)
-        if found.count() >= most:
-            break
-    if found is None:
-        return rows.select(F.col("idx").cast("long").alias("idx_a"), F.col("idx").cast("long").alias("idx_b"), F.lit(0.0).alias("similarity")).where("false")
-    return found.orderBy("idx_a", "idx_b").limit(most)
+        found = durable(rows.mapInArrow(dots, PAIR).orderBy("idx_a", "idx_b").limit(most))
+        if len(front) < size or found.count() >= most:
+            return found
+    return cosine_pairs(rows, threshold).orderBy("idx_a", "idx_b").limit(most)
 
 
 def text_cosine(a: str | None, b: str | None) -> float:

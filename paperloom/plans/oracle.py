@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperloom.functions.dictionaries import COVERED_SECTIONS, ENGLISH_STOPS, FIGURE_TYPES, FILL_WORDS, GAP_PATTERNS, HEADINGS, METHOD_WORDS, PROBLEM_WORDS_EN, PROBLEM_WORDS_ZH, QUESTION_PATTERNS, QUESTION_PATTERNS_SHORT, SECTIONS, TERM_STOPS_INTRO, TERM_STOPS_METHOD
+from paperloom.functions.dictionaries import ARXIV_BARE, ARXIV_PREFIX, ARXIV_URL, BOILERPLATE_SECTIONS, COVERED_SECTIONS, ENGLISH_STOPS, FIGURE_NAMES, FIGURE_TYPES, FILL_WORDS, GAP_PATTERNS, HEAD_ARXIV, HEAD_DOI, HEAD_YEAR, HEADINGS, METHOD_WORDS, NO_TITLE, PROBLEM_WORDS_EN, PROBLEM_WORDS_ZH, QUESTION_PATTERNS, QUESTION_PATTERNS_SHORT, SECTIONS, TERM_STOPS_INTRO, TERM_STOPS_METHOD, TERM_WORDS
 
 SPACE = r"[\s\x{0b}\x{85}\p{Z}]"
 
@@ -107,15 +107,55 @@ def word_cte(texts: str, bigrams: bool, features: int, name: str = "vec") -> str
 BLANK = f"CASE WHEN length(regexp_replace(x, '{SPACE}', '', 'g')) = 0 THEN 'placeholder' ELSE x END"
 
 
-def edges_sql(text: str, digits: int, name: str) -> str:
+def cosines(text: str, least: float) -> str:
+    """CTEs ending in ``cos`` (paper_a, paper_b, c) of word vectors of a text per paper."""
+    words = word_cte(f"SELECT paper_idx AS idx, {BLANK} AS text FROM (SELECT paper_idx, {text} AS x FROM p)", True, 5000)
+    return f"{words}, cos AS (SELECT a.idx AS paper_a, b.idx AS paper_b, sum(a.w * b.w) AS c FROM vec a JOIN vec b USING (term) WHERE a.idx < b.idx GROUP BY 1, 2 HAVING sum(a.w * b.w) > {least})"
+
+
+def char_pairs(name: str, items: str, low: int, high: int, features: int, threshold: float, most: int) -> str:
+    """CTEs: ``name``_s (idx, paper_idx, pos, text) in reading order and ``name``_p, its first pairs (i, j, c)."""
+    grams = " UNION ALL ".join(f"SELECT idx, unnest(list_transform(range(1, length(t) - {n} + 2), lambda i: substring(t, i, {n}))) AS term FROM {name}_t WHERE length(t) >= {n}" for n in range(low, high + 1))
+    return f"""{name}_s AS (SELECT row_number() OVER (ORDER BY paper_idx, pos) AS idx, paper_idx, pos::BIGINT AS pos, text FROM {items}),
+ {name}_t AS (SELECT idx, regexp_replace(lower(text), '{SPACE}{SPACE}+', ' ', 'g') AS t FROM {name}_s),
+ {name}_f AS (SELECT idx, term, count(*) AS tf FROM ({grams}) GROUP BY 1, 2),
+ {name}_v AS (SELECT term, sum(tf) AS ctf, count(*) AS df FROM {name}_f GROUP BY term ORDER BY ctf DESC, term LIMIT {features}),
+ {name}_r AS (SELECT idx, term, tf * (ln((1.0 + (SELECT count(*) FROM {name}_s)) / (df + 1.0)) + 1.0) AS raw FROM {name}_f JOIN {name}_v USING (term)),
+ {name}_w AS (SELECT idx, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY idx)) AS w FROM {name}_r),
+ {name}_p AS (SELECT a.idx AS i, b.idx AS j, sum(a.w * b.w) AS c FROM {name}_w a JOIN {name}_w b USING (term) WHERE a.idx < b.idx GROUP BY 1, 2 HAVING sum(a.w * b.w) >= {threshold} - 1e-12 ORDER BY 1, 2 LIMIT {most})"""
+
+
+def components_cte(name: str, pairs: str) -> str:
+    """CTE ``name`` (idx, component) of the pairs (i, j)."""
+    return f"{name}_e AS (SELECT i AS u, j AS v FROM {pairs} UNION SELECT j, i FROM {pairs}), {name}_k AS (SELECT u AS idx, u AS low FROM {name}_e UNION SELECT e.v, k.low FROM {name}_k k JOIN {name}_e e ON e.u = k.idx), {name} AS (SELECT idx, min(low) AS component FROM {name}_k GROUP BY 1)"
+
+
+def boilerplate_cte(sections) -> str:
+    """CTEs ending in ``members`` (section_name, component, idx, paper_idx, pos, text)."""
+    parts, unions = [], []
+    for k, section in enumerate(sections):
+        items = exploded("p", sentence_list(section, 20), "paper_idx", "text")
+        parts += [char_pairs(f"b{k}", items, 3, 6, 8000, 0.65, 300), components_cte(f"b{k}_c", f"b{k}_p")]
+        unions.append(f"SELECT '{section}' AS section_name, component, idx, paper_idx, pos, text FROM b{k}_c JOIN b{k}_s USING (idx)")
+    return ", ".join(parts) + f", every AS ({' UNION ALL '.join(unions)}), members AS (SELECT * FROM every WHERE (section_name, component) IN (SELECT (section_name, component) FROM every GROUP BY section_name, component HAVING count(DISTINCT text) > 1 AND count(DISTINCT paper_idx) > 1))"
+
+
+def boilerplate_sql(sections) -> str:
+    words = f"list_filter(regexp_split_to_array(lower(text), '{SPACE}+'), lambda w: length(w) > 0)"
     return (
-        with_(P, word_cte(f"SELECT paper_idx AS idx, {BLANK} AS text FROM (SELECT paper_idx, {text} AS x FROM p)", True, 5000))
-        + f"SELECT paper_a, paper_b, round({name}, {digits}) AS {name} FROM (SELECT a.idx AS paper_a, b.idx AS paper_b, round(sum(a.w * b.w), 4) AS {name} FROM vec a JOIN vec b USING (term) WHERE a.idx < b.idx GROUP BY 1, 2 HAVING sum(a.w * b.w) > 0.55)"
+        "WITH RECURSIVE "
+        + ", ".join((P, boilerplate_cte(sections)))
+        + f""", own AS (SELECT *, {words} AS ws FROM members),
+ runs AS (SELECT section_name, component, idx, i, n, array_to_string(list_slice(ws, i + 1, i + n), ' ') AS phrase FROM (SELECT *, unnest(range(len(ws))) AS i FROM own) o, range(3, 40) r(n) WHERE i + n <= len(ws)),
+ shared AS (SELECT r.section_name, r.component, phrase FROM runs r JOIN members b ON b.section_name = r.section_name AND b.component = r.component AND r.idx < b.idx AND contains(lower(b.text), phrase)
+  WHERE length(phrase) >= 10 QUALIFY row_number() OVER (PARTITION BY r.section_name, r.component ORDER BY length(phrase) DESC, r.idx, b.idx, i, n) = 1),
+ sizes AS (SELECT section_name, component, count(DISTINCT paper_idx) AS paper_count, count(*) AS sentence_count, min_by(paper_idx, idx) AS first_paper, min_by(pos, idx) AS first_pos FROM members GROUP BY 1, 2)
+SELECT section_name, first_paper, first_pos, coalesce(phrase, '(similar wording)') AS phrase, paper_count, sentence_count FROM sizes LEFT JOIN shared USING (section_name, component)"""
     )
 
 
 def key_terms_sql(column: str, stops, top: int, least: int) -> str:
-    words = "regexp_extract_all(lower(" + column + "), '[a-zA-Z]{2,}(?:-[a-zA-Z]{2,})*')"
+    words = f"regexp_extract_all(lower({column}), {quoted(TERM_WORDS)})"
     return (
         with_(P, f"w AS (SELECT paper_idx AS idx, {words} AS ws FROM p)", "pos AS (SELECT idx, ws, unnest(range(len(ws))) AS i FROM w)")
         + f"""SELECT idx, rank, phrase AS term, score FROM (SELECT idx, phrase, (c * n)::BIGINT AS score, row_number() OVER (PARTITION BY idx ORDER BY c * n DESC, place) AS rank FROM (
@@ -124,8 +164,37 @@ def key_terms_sql(column: str, stops, top: int, least: int) -> str:
     )
 
 
+METHOD_TEXT = f"CASE WHEN methods <> '' THEN methods WHEN results <> '' THEN results ELSE {ALL_SECTIONS} END"
+INTRO_TEXT = "CASE WHEN introduction <> '' THEN introduction WHEN related_work <> '' THEN related_work ELSE abstract END"
+LABEL_4 = label(4, 30, "array_to_string({parts}, ' ')")
+LABEL_5 = label(5, 40, "left(title, 60)")
+BLANKS = r"[\t\x{0b}\f\r \x{85}\p{Z}]"
+LETTER = r"[\p{L}\p{M}\p{N}_]"
+# no lambda inside the branches: the sentences of texts without a long paragraph in threes
+PARAGRAPHS = f"""blocks AS (SELECT paper_idx, list_filter(list_transform(string_split_regex(methods, '\\n{SPACE}*\\n'), lambda x: replace({strip('x')}, chr(10), ' ')), lambda x: length(x) >= 50) AS own, {sentence_list('methods', 20)} AS parts FROM p),
+ paras AS (SELECT paper_idx, CASE WHEN len(own) > 0 THEN own ELSE list_filter(list_transform(range(0, len(parts), 3), lambda k: array_to_string(list_slice(parts, k + 1, k + 3), ' ')), lambda x: length(x) >= 50) END AS l FROM blocks)"""
+CLEAN = f"{strip('regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(full_text, ' + quoted(f'({LETTER})-' + chr(92) + f'n({LETTER})') + ', ' + quoted(chr(92) + '1' + chr(92) + '2') + ', ' + quoted('g') + '), ' + quoted(chr(92) + 'r' + chr(92) + 'n?') + ', chr(10), ' + quoted('g') + '), ' + quoted(chr(92) + 'n{3,}') + ', chr(10) || chr(10), ' + quoted('g') + '), ' + quoted(BLANKS + '+') + ', ' + quoted(' ') + ', ' + quoted('g') + '), ' + quoted(' {2,}') + ', ' + quoted(' ') + ', ' + quoted('g') + ')')}"
+BOUNDARIES = f"""one AS (SELECT paper_idx, line_no, min(text) AS text, max(font_size) AS font_size FROM ln GROUP BY 1, 2),
+ sized AS (SELECT paper_idx, list_sort(list(DISTINCT coalesce(font_size, 10.0))) AS sizes FROM one GROUP BY 1),
+ marks AS (SELECT *, {heading_case('text', 50)} AS by_pattern, CASE WHEN coalesce(font_size, 10.0) > sizes[len(sizes) // 2 + 1] * 1.05 THEN {heading_case('text', 60)} END AS by_font FROM one JOIN sized USING (paper_idx)),
+ bounds AS (SELECT paper_idx, line_no, text, CASE WHEN count(by_pattern) OVER (PARTITION BY paper_idx) < 2 THEN by_font ELSE by_pattern END AS heading FROM marks)"""
+SEGMENTS = """placed AS (SELECT *, count(heading) OVER (PARTITION BY paper_idx ORDER BY line_no) AS part, last_value(heading IGNORE NULLS) OVER (PARTITION BY paper_idx ORDER BY line_no) AS section, count(heading) OVER (PARTITION BY paper_idx) AS headings FROM bounds),
+ segs AS (SELECT paper_idx, coalesce(section, 'introduction') AS section_name, part, string_agg(text, chr(10) ORDER BY line_no) AS text FROM placed WHERE heading IS NULL AND (part > 0 OR headings = 0) GROUP BY 1, 2, 3)"""
+
+
+def pair_terms(column: str) -> str:
+    """Words and word pairs of one column, blank texts as the placeholder."""
+    found = f"list_filter(regexp_extract_all(lower(CASE WHEN length({strip(column)}) = 0 THEN 'placeholder' ELSE {column} END), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: NOT list_contains({listed(ENGLISH_STOPS)}, w))"
+    return f"(SELECT paper_idx, term, count(*) AS n FROM (SELECT paper_idx, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM (SELECT paper_idx, {found} AS ws FROM p)) GROUP BY 1, 2)"
+
+
+TWO_TEXTS = f"""x AS {pair_terms('abstract')}, y AS {pair_terms('conclusion')},
+ twos AS (SELECT paper_idx, coalesce(x.n, 0) AS a, coalesce(y.n, 0) AS b, CASE WHEN x.n IS NULL OR y.n IS NULL THEN ln(1.5) + 1 ELSE 1.0 END AS idf FROM x FULL JOIN y USING (paper_idx, term)),
+ dots AS (SELECT paper_idx, sum(a * b * idf * idf) AS dot, sqrt(sum(a * a * idf * idf)) AS na, sqrt(sum(b * b * idf * idf)) AS nb FROM twos GROUP BY 1)"""
+TITLE_CASE = "array_to_string(list_transform(range(1, length(t) + 1), lambda i: CASE WHEN i = 1 OR substring(t, i - 1, 1) IN (' ', '-') THEN upper(substring(t, i, 1)) ELSE substring(t, i, 1) END), '')"
+
 LINES = "ln AS (SELECT DISTINCT paper_idx, line_no, text, font_size FROM line)"
-META_TITLE = f"list_filter(list_transform(list_slice(string_split(full_text, chr(10)), 1, 30), lambda x: {strip('x')}), lambda x: length(x) > 20 AND NOT (starts_with(x, 'http') OR starts_with(x, 'doi:') OR starts_with(x, 'DOI:') OR starts_with(x, 'arXiv:')))[1]"
+META_TITLE = f"list_filter(list_transform(list_slice(string_split(full_text, chr(10)), 1, 30), lambda x: {strip('x')}), lambda x: length(x) > 20 AND NOT ({' OR '.join(f'starts_with(x, {quoted(n)})' for n in NO_TITLE)}))[1]"
 HEAD = "left(full_text, 2000)"
 
 ORACLE: dict[str, str] = {
@@ -136,8 +205,8 @@ ORACLE: dict[str, str] = {
     "detect_language": with_(P)
     + f"SELECT paper_idx, CASE WHEN k = 0 THEN 'en' WHEN z / k > 0.5 THEN 'zh' WHEN z / k > 0.2 THEN 'mixed' ELSE 'en' END AS detected FROM (SELECT paper_idx, length(regexp_replace(full_text, '{SPACE}', '', 'g'))::DOUBLE AS k, length(regexp_replace(full_text, '[^一-鿿]', '', 'g'))::DOUBLE AS z FROM p)",
     "text_hash": with_(P) + "SELECT paper_idx, md5(full_text) AS text_hash FROM p",
-    "short_label_4": with_(P) + "SELECT paper_idx, " + label(4, 30, "array_to_string({parts}, ' ')") + " AS label FROM p",
-    "short_label_5": with_(P) + "SELECT paper_idx, " + label(5, 40, "left(title, 60)") + " AS label FROM p",
+    "short_label_4": with_(P) + "SELECT paper_idx, " + LABEL_4 + " AS label FROM p",
+    "short_label_5": with_(P) + "SELECT paper_idx, " + LABEL_5 + " AS label FROM p",
     "all_section_text": with_(P) + f"SELECT paper_idx, {ALL_SECTIONS} AS text FROM p",
     "batches_of_papers": with_(P) + "SELECT (paper_idx // 64)::BIGINT AS batch, count(*) AS n, min(paper_idx) AS first_idx FROM p GROUP BY 1",
     "normalize_sentence": with_(P)
@@ -147,17 +216,17 @@ ORACLE: dict[str, str] = {
     "missing_section_fill": fill_sql(),
     "section_coverage": with_(P) + " UNION ALL ".join(f"SELECT paper_idx, '{n}' AS section_name, (length({n}) > 0)::INT AS present FROM p" for n in COVERED_SECTIONS),
     "paper_metadata": with_(P)
-    + f"""SELECT paper_idx, {META_TITLE} AS title, nullif(regexp_extract({HEAD}, '(?:DOI|doi):\\s*(\\S+)', 1), '') AS doi,
- CASE WHEN regexp_extract({HEAD}, 'arXiv:(\\d+\\.\\d+)', 1) <> '' AND NOT starts_with(source, '10.') THEN 'arXiv:' || regexp_extract({HEAD}, 'arXiv:(\\d+\\.\\d+)', 1) ELSE source END AS source,
- nullif(regexp_extract({HEAD}, '(?:©|Copyright|Published).*?(20\\d{{2}})', 1), '')::INT AS year FROM p""",
+    + f"""SELECT paper_idx, {META_TITLE} AS title, nullif(regexp_extract({HEAD}, {quoted(HEAD_DOI)}, 1), '') AS doi,
+ CASE WHEN regexp_extract({HEAD}, {quoted(HEAD_ARXIV)}, 1) <> '' AND NOT starts_with(source, '10.') THEN 'arXiv:' || regexp_extract({HEAD}, {quoted(HEAD_ARXIV)}, 1) ELSE source END AS source,
+ nullif(regexp_extract({HEAD}, {quoted(HEAD_YEAR)}, 1), '')::INT AS year FROM p""",
     "loaded_papers": with_(P) + "SELECT paper_idx, coalesce(nullif(left(title, 100), ''), '(unknown)') AS title, left(source, 40) AS source, language, (" + " + ".join(f"(length({c}) > 0)::BIGINT" for c in COVERED_SECTIONS) + ")::BIGINT AS sections FROM p",
     "dedup_by_source": with_(P) + "SELECT min(paper_idx) AS paper_idx, source FROM p GROUP BY source",
     "incremental_dedup": with_(P) + "SELECT source, min(paper_idx) AS paper_idx FROM p WHERE (year IS NULL OR year >= 2015) AND source NOT IN (SELECT source FROM p WHERE year < 2015) GROUP BY source",
     "figure_discussions": with_(P)
     + f"""SELECT paper_idx, idx AS index, pos::BIGINT AS pos, {strip('block')} AS paragraph FROM (SELECT * FROM {exploded('p', 'string_split(full_text, chr(10) || chr(10))', 'paper_idx', 'block')}) b
  JOIN (SELECT DISTINCT paper_idx, f.index::BIGINT AS idx FROM (SELECT paper_idx, unnest(figures) AS f FROM p) WHERE f.index IS NOT NULL) USING (paper_idx)
- WHERE contains(block, 'Figure ' || idx) OR contains(block, 'Fig. ' || idx) OR contains(block, 'Figure' || idx) OR contains(block, 'Fig' || idx) OR contains(block, '图' || idx) OR contains(block, '图 ' || idx)""",
-    "parse_arxiv_id": f"""SELECT input_id, coalesce(nullif(replace(regexp_extract(t, 'arxiv\\.org/(?:abs|pdf)/([^/\\s?#]+)', 1), '.pdf', ''), ''), nullif(regexp_extract(t, 'arXiv:(\\S+)', 1), ''), nullif(regexp_extract(t, '^(\\d{{4}}\\.\\d{{4,5}}(?:v\\d+)?|[a-zA-Z.-]+/\\d{{7}}(?:v\\d+)?)$', 1), '')) AS arxiv_id FROM (SELECT input_id, {strip('raw')} AS t FROM arxiv_id_input)""",
+ WHERE {" OR ".join(f"contains(block, {quoted(n)} || idx)" for n in FIGURE_NAMES)}""",
+    "parse_arxiv_id": f"""SELECT input_id, coalesce(nullif(replace(regexp_extract(t, {quoted(ARXIV_URL)}, 1), '.pdf', ''), ''), nullif(regexp_extract(t, {quoted(ARXIV_PREFIX)}, 1), ''), nullif(regexp_extract(t, {quoted(ARXIV_BARE)}, 1), '')) AS arxiv_id FROM (SELECT input_id, {strip('raw')} AS t FROM arxiv_id_input)""",
     "arxiv_input_parts": f"SELECT input_id, pos::BIGINT AS pos, {strip('x')} AS part FROM {exploded('arxiv_id_input', 'string_split(replace(raw, chr(10), chr(44)), chr(44))', 'input_id', 'x')} WHERE length({strip('x')}) > 0",
     "metadata_papers": "SELECT 'arXiv:' || arxiv_id AS source, coalesce(title, '') AS title, year, coalesce(doi, '') AS doi, coalesce(abstract, '') AS abstract, coalesce(abstract, '') AS introduction, coalesce(abstract, '') AS full_text FROM arxiv_meta WHERE arxiv_id IS NOT NULL",
     "map_errors": "SELECT input_id, CASE WHEN x <> '' THEN (x::HUGEINT % 97)::VARCHAR END AS value, CASE WHEN x = '' THEN 'ValueError' END AS error FROM (SELECT input_id, regexp_extract(coalesce(raw, ''), '(\\d+)', 1) AS x FROM arxiv_id_input)",
@@ -175,19 +244,40 @@ ORACLE: dict[str, str] = {
     )
     + "SELECT term, sum(tf)::BIGINT AS ctf, count(*) AS df FROM (SELECT idx, term, count(*) AS tf FROM g GROUP BY 1, 2) GROUP BY term ORDER BY ctf DESC, term LIMIT 8000",
     "word_tfidf": with_(P, word_cte(f"SELECT paper_idx AS idx, {BLANK} AS text FROM (SELECT paper_idx, abstract AS x FROM p)", True, 5000)) + "SELECT idx AS paper_idx, term, round(w, 6) AS w FROM vec",
-    "section_similarity": edges_sql(f"CASE WHEN methods <> '' THEN methods WHEN results <> '' THEN results ELSE {ALL_SECTIONS} END", 4, "similarity"),
-    "intro_edges": edges_sql("CASE WHEN introduction <> '' THEN introduction WHEN related_work <> '' THEN related_work ELSE abstract END", 3, "weight"),
+    "section_similarity": with_(P, cosines(METHOD_TEXT, 0)) + "SELECT paper_a, paper_b, round(c, 4) AS similarity FROM cos WHERE round(c, 4) > 0",
+    "intro_similarity": with_(P, cosines(INTRO_TEXT, 0)) + "SELECT paper_a, paper_b, round(c, 4) AS similarity FROM cos WHERE round(c, 4) > 0",
+    "intro_edges": with_(P, cosines(INTRO_TEXT, 0.55)) + "SELECT paper_a, paper_b, round(c, 3) AS weight FROM cos",
+    "pair_groups": "WITH RECURSIVE " + ", ".join((P, cosines(INTRO_TEXT, 0.55), "pr AS (SELECT paper_a AS i, paper_b AS j FROM cos)", components_cte("comp", "pr"))) + " SELECT idx, component FROM comp",
+    "text_similarity": with_(P, TWO_TEXTS) + "SELECT p.paper_idx, round(CASE WHEN na > 0 AND nb > 0 THEN dot / (na * nb) ELSE 0.0 END, 4) AS similarity FROM p LEFT JOIN dots ON dots.paper_idx = p.paper_idx",
+    "similar_pairs": with_(P, char_pairs("c", exploded("p", sentence_list("conclusion", 20), "paper_idx", "text"), 3, 6, 8000, 0.65, 500))
+    + "SELECT a.paper_idx AS paper_a, a.pos AS pos_a, b.paper_idx AS paper_b, b.pos AS pos_b, round(c, 4) AS similarity, left(a.text, 300) AS text_a, left(b.text, 300) AS text_b FROM c_p JOIN c_s a ON a.idx = i JOIN c_s b ON b.idx = j",
+    "background_overlap": with_(P, char_pairs("c", exploded("p", sentence_list("introduction", 25), "paper_idx", "text"), 4, 7, 5000, 0.72, 200))
+    + "SELECT a.paper_idx AS paper_a, a.pos AS pos_a, b.paper_idx AS paper_b, b.pos AS pos_b, round(c, 4) AS similarity, left(a.text, 300) AS text_a, left(b.text, 300) AS text_b FROM c_p JOIN c_s a ON a.idx = i JOIN c_s b ON b.idx = j WHERE a.paper_idx <> b.paper_idx ORDER BY round(c, 4) DESC, i, j LIMIT 50",
+    "boilerplate_groups": boilerplate_sql(BOILERPLATE_SECTIONS),
+    "boilerplate_by_section": boilerplate_sql(["methods"]),
+    "boilerplate_items": "WITH RECURSIVE " + ", ".join((P, boilerplate_cte(BOILERPLATE_SECTIONS))) + " SELECT section_name, paper_idx, pos, left(text, 400) AS text FROM members",
+    "boilerplate_summary": "WITH RECURSIVE " + ", ".join((P, boilerplate_cte(BOILERPLATE_SECTIONS))) + " SELECT count(DISTINCT (section_name, component)) AS total_groups, count(*) AS total_sentences FROM members",
+    "paragraphs": with_(P, PARAGRAPHS) + "SELECT paper_idx, unnest(range(len(l)))::BIGINT AS pos, unnest(l) AS text FROM paras",
+    "clean_text": with_(P) + f"SELECT paper_idx, {CLEAN} AS text FROM p",
+    "font_headings": with_(LINES, BOUNDARIES) + "SELECT paper_idx, line_no::BIGINT AS line_no, heading FROM bounds WHERE heading IS NOT NULL",
+    "section_segments": with_(LINES, BOUNDARIES, SEGMENTS) + "SELECT paper_idx, section_name, max_by(text, part) AS text FROM segs GROUP BY 1, 2",
+    "section_coverage_matrix": with_(P) + "SELECT paper_idx, " + ", ".join(f"(length({n}) > 0)::INT AS {n}" for n in COVERED_SECTIONS) + " FROM p",
+    "term_labels": f"WITH kt AS ({key_terms_sql('introduction', TERM_STOPS_INTRO, 8, 2)}), named AS (SELECT idx, string_agg({TITLE_CASE}, ' | ' ORDER BY rank) AS label FROM (SELECT *, term AS t FROM kt WHERE rank <= 2) GROUP BY 1) SELECT i.paper_idx AS cluster, coalesce(label, 'Unlabeled cluster') AS label FROM (SELECT DISTINCT paper_idx FROM paper WHERE paper_idx IS NOT NULL) i LEFT JOIN named ON named.idx = i.paper_idx",
+    "questions_per_paper": with_(P, question_cte(QUESTION_PATTERNS)) + f"SELECT p.paper_idx, {LABEL_4} AS label, source, coalesce(c, 0)::BIGINT AS question_count FROM p LEFT JOIN (SELECT paper_idx, count(*) AS c FROM questions GROUP BY 1) k ON k.paper_idx = p.paper_idx",
+    "chart_similarity": with_(P, cosines(METHOD_TEXT, 0), f"lab AS (SELECT paper_idx, {LABEL_5} AS label FROM p)")
+    + "SELECT paper_a, a.label AS label_a, paper_b, b.label AS label_b, round(round(c, 4), 3) AS similarity FROM cos JOIN lab a ON a.paper_idx = paper_a JOIN lab b ON b.paper_idx = paper_b WHERE round(c, 4) > 0",
+    "chart_network": with_(P, cosines(INTRO_TEXT, 0.55), f"lab AS (SELECT paper_idx, left({LABEL_4}, 40) AS label FROM p)") + "SELECT paper_a, a.label AS label_a, paper_b, b.label AS label_b, round(c, 3) AS weight FROM cos JOIN lab a ON a.paper_idx = paper_a JOIN lab b ON b.paper_idx = paper_b",
     "problem_focus": with_(P, word_cte("SELECT paper_idx AS idx, abstract || ' ' || introduction AS text FROM p", False, 200))
     + "SELECT idx AS paper_idx, rank, term, round(w, 4) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY round(w, 9) DESC, term DESC) AS rank FROM vec) WHERE rank <= 10",
     "key_terms_method": key_terms_sql("methods", TERM_STOPS_METHOD, 5, 1),
     "key_terms_intro": key_terms_sql("introduction", TERM_STOPS_INTRO, 8, 2),
-    "report_summary": with_(P, PROBLEM_CTE.replace("sec AS", "sec1 AS").replace("FROM sec)", "FROM sec1)"), question_cte(QUESTION_PATTERNS).replace("sec AS", "sec2 AS").replace("FROM sec)", "FROM sec2)"), GAPS.replace("sec AS", "sec3 AS").replace("FROM sec)", "FROM sec3)"), METHODS, FIGURES)
+    "corpus_counts": with_(P, PROBLEM_CTE.replace("sec AS", "sec1 AS").replace("FROM sec)", "FROM sec1)"), question_cte(QUESTION_PATTERNS).replace("sec AS", "sec2 AS").replace("FROM sec)", "FROM sec2)"), GAPS.replace("sec AS", "sec3 AS").replace("FROM sec)", "FROM sec3)"), METHODS, FIGURES)
     + " UNION ALL ".join(
         f"SELECT '{n}' AS item, count(*) AS n FROM {t}"
         for n, t in (("papers", "p"), ("problem_statements", "problems"), ("open_questions", "questions"), ("research_gaps", "gaps"), ("figures", "figs"), ("shared_methods", "(SELECT DISTINCT method FROM presence)"), ("figure_types", "figure_counts"))
     ),
     "chart_method_presence": with_(P, METHODS) + "SELECT method, sum(present)::BIGINT AS papers FROM presence GROUP BY 1",
-    "chart_problem_counts": with_(P, PROBLEM_CTE) + "SELECT paper_idx, count(*) AS problems, count(DISTINCT keyword) AS keywords FROM problems GROUP BY 1",
+    "chart_problem_counts": with_(P, PROBLEM_CTE) + f"SELECT p.paper_idx, left({LABEL_4}, 40) AS label, coalesce(c, 0)::BIGINT AS problem_count FROM p LEFT JOIN (SELECT paper_idx, count(*) AS c FROM problems GROUP BY 1) k ON k.paper_idx = p.paper_idx",
     "chart_question_counts": with_(P, question_cte(QUESTION_PATTERNS)) + "SELECT section_name, count(*) AS questions, count(DISTINCT paper_idx) AS papers FROM questions GROUP BY 1",
     "chart_figure_types": with_(P, FIGURES) + "SELECT figure_type, paper_count FROM figure_counts",
     "chart_section_coverage": with_(P) + "SELECT section_name, sum(present)::BIGINT AS papers FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS section_name, (length({n}) > 0)::INT AS present FROM p" for n in COVERED_SECTIONS) + ") GROUP BY 1",

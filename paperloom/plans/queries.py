@@ -144,6 +144,11 @@ def paper_metadata(s, d):
     return S.metadata(corpus.papers(s, d, "full_text", "source"))
 
 
+@query
+def section_coverage_matrix(s, d):
+    return section_coverage(s, d).groupBy("paper_idx").pivot("section_name", COVERED_SECTIONS).agg(F.max("present"))
+
+
 @query
 def loaded_papers(s, d):
     n = sum((F.length(c) > 0).cast("long") for c in COVERED_SECTIONS)
@@ -240,13 +245,13 @@ def figure_types(s, d):
 @query
 def char_tfidf_vocab(s, d):
     texts = corpus.papers(s, d, "conclusion").select(F.col("paper_idx").alias("idx"), F.col("conclusion").alias("text"))
-    return V.vocabulary(V.char_counts(texts, 3, 6), 8000)
+    return V.vocabulary(texts, V.chars(3, 6), 8000)
 
 
 @query
 def word_tfidf(s, d):
     texts = corpus.papers(s, d, "abstract").select(F.col("paper_idx").alias("idx"), F.col("abstract").alias("text"))
-    return A.word_vectors(texts, 5000).select(F.col("idx").alias("paper_idx"), "term", F.round("w", 6).alias("w"))
+    return V.tfidf(texts, V.words(), 5000).select(F.col("idx").alias("paper_idx"), "term", F.round("w", 6).alias("w"))
 
 
 @query
@@ -257,12 +262,17 @@ def text_similarity(s, d):
 
 @query
 def section_similarity(s, d):
-    return A.similar_papers(A.method_texts(s, d), 0.55)
+    return A.similarity_matrix(A.method_texts(s, d))
+
+
+@query
+def intro_similarity(s, d):
+    return A.similarity_matrix(A.intro_texts(s, d))
 
 
 @query
 def intro_edges(s, d):
-    return A.similar_papers(A.intro_texts(s, d), 0.55).select("paper_a", "paper_b", F.round("similarity", 3).alias("weight"))
+    return A.edges(A.intro_texts(s, d))
 
 
 @query
@@ -295,7 +305,7 @@ def term_labels(s, d):
 # analyses
 @query
 def similar_pairs(s, d):
-    return V.first_pairs(A.char_vectors(A.boilerplate_sentences(s, d, "conclusion").select("idx", "text"), 3, 6, 8000), 0.65, 500).select("idx_a", "idx_b", F.round("similarity", 4).alias("similarity"))
+    return A.similar_sentences(s, d, "conclusion")
 
 
 @query
@@ -304,14 +314,31 @@ def pair_groups(s, d):
     return C.components(pairs)
 
 
+def grouped(members):
+    """Boilerplate groups named by the paper and sentence of their first member."""
+    first = members.groupBy("section_name", "group").agg(F.min_by(F.struct("paper_idx", long("pos")), "idx").alias("f"))
+    return A.boilerplate_groups(members).join(first, ["section_name", "group"]).select("section_name", F.col("f.paper_idx").alias("first_paper"), F.col("f.pos").alias("first_pos"), "phrase", "paper_count", "sentence_count")
+
+
 @query
 def boilerplate_groups(s, d):
-    return A.boilerplate(s, d)
+    return grouped(A.boilerplate(s, d))
+
+
+@query
+def boilerplate_items(s, d):
+    return A.boilerplate(s, d).select("section_name", "paper_idx", long("pos"), F.left("text", F.lit(400)).alias("text"))
+
+
+@query
+def boilerplate_summary(s, d):
+    members = A.boilerplate(s, d)
+    return members.agg(F.countDistinct("section_name", "group").alias("total_groups"), F.count("*").alias("total_sentences"))
 
 
 @query
 def boilerplate_by_section(s, d):
-    return A.boilerplate_groups(s, d, "methods")
+    return grouped(A.boilerplate_members(s, d, "methods"))
 
 
 @query
@@ -324,6 +351,16 @@ def intro_clusters(s, d):
     return A.intro_clusters(s, d)
 
 
+@query
+def method_paragraphs(s, d):
+    return A.listed(A.method_paragraphs(s, d), s, d, 500)
+
+
+@query
+def intro_members(s, d):
+    return A.intro_members(s, d).select("cluster", "paper_idx")
+
+
 @query
 def problem_clusters(s, d):
     return A.problem_clusters(s, d)
@@ -339,6 +376,25 @@ def figure_groups(s, d):
     return A.figure_groups(s, d)
 
 
+@query
+def problem_items(s, d):
+    return A.listed(A.problem_members(s, d), s, d, 400)
+
+
+@query
+def figure_items(s, d):
+    labels = corpus.papers(s, d, "title", "source").select("paper_idx", T.label(F.col("title"), F.col("source")).alias("paper_label"))
+    return A.figure_members(s, d).join(labels, "paper_idx").select("cluster", "paper_idx", "paper_label", F.col("index").alias("figure_index"), F.left("text", F.lit(300)).alias("caption"), "has_image")
+
+
+@query
+def figure_stats(s, d):
+    rows = corpus.papers(s, d, "figures")
+    groups = A.figure_members(s, d)
+    found = {"total_figures": corpus.figures(rows).where("length(caption) > 10"), "total_papers": rows, "figure_groups_found": groups.select("cluster").distinct(), "discussion_patterns_found": A.discussion_patterns(s, d, items=groups).select("cluster").distinct()}
+    return R.counted(found)
+
+
 @query
 def discussion_patterns(s, d):
     return A.discussion_patterns(s, d)
@@ -349,6 +405,25 @@ def question_clusters(s, d):
     return A.question_clusters(s, d)
 
 
+@query
+def question_items(s, d):
+    return A.listed(A.question_members(s, d), s, d, 400)
+
+
+@query
+def questions_per_paper(s, d):
+    rows = corpus.papers(s, d, "title", "source", *SECTIONS)
+    n = E.question_sentences(rows.drop("title", "source")).groupBy("paper_idx").agg(F.count("*").alias("n"))
+    return rows.select("paper_idx", T.label(F.col("title"), F.col("source")).alias("label"), "source").join(n, "paper_idx", "left").select("paper_idx", "label", "source", F.coalesce("n", F.lit(0)).cast("long").alias("question_count"))
+
+
+@query
+def question_stats(s, d):
+    items = A.question_members(s, d)
+    kinds = items.groupBy("cluster").agg(F.countDistinct("paper_idx").alias("papers"))
+    return R.counted({"total_papers": corpus.papers(s, d, "source"), "total_questions": items, "convergent": kinds.where("papers >= 2"), "unique": kinds.where("papers < 2")})
+
+
 @query
 def gap_groups(s, d):
     return A.gap_groups(s, d)
@@ -360,14 +435,48 @@ def report_summary(s, d):
     return R.summary_counts(s, d)
 
 
+@query
+def overview_metrics(s, d):
+    return R.overview(s, d)
+
+
+@query
+def corpus_counts(s, d):
+    return R.corpus_counts(s, d)
+
+
+@query
+def chart_method_clusters(s, d):
+    return method_clusters(s, d).select("cluster", F.left("label", F.lit(60)).alias("label"), "paper_count")
+
+
 @query
 def chart_method_presence(s, d):
     return method_presence(s, d).groupBy("method").agg(F.sum("present").alias("papers"))
 
 
+@query
+def chart_similarity(s, d):
+    names = short_label_5(s, d)
+    a, b = (names.select(F.col("paper_idx").alias(f"paper_{x}"), F.col("label").alias(f"label_{x}")) for x in "ab")
+    return section_similarity(s, d).join(a, "paper_a").join(b, "paper_b").select("paper_a", "label_a", "paper_b", "label_b", F.round("similarity", 3).alias("similarity"))
+
+
+@query
+def chart_network(s, d):
+    names = short_label_4(s, d).select("paper_idx", F.left("label", F.lit(40)).alias("label"))
+    a, b = (names.select(F.col("paper_idx").alias(f"paper_{x}"), F.col("label").alias(f"label_{x}")) for x in "ab")
+    return intro_edges(s, d).join(a, "paper_a").join(b, "paper_b").select("paper_a", "label_a", "paper_b", "label_b", "weight")
+
+
 @query
 def chart_problem_counts(s, d):
-    return problem_sentences(s, d).groupBy("paper_idx").agg(F.count("*").alias("problems"), F.countDistinct("keyword").alias("keywords"))
+    return problems_per_paper(s, d).select("paper_idx", F.left("label", F.lit(40)).alias("label"), "problem_count")
+
+
+@query
+def chart_open_questions(s, d):
+    return question_clusters(s, d).select("cluster", "kind", F.left("summary", F.lit(80)).alias("label"), F.when(F.col("kind") == "convergent", F.col("paper_count")).otherwise(F.lit(1)).cast("long").alias("papers"))
 
 
 @query

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.functions.dictionaries import ARXIV_BARE, ARXIV_PREFIX, ARXIV_URL, ARXIV_VERSION
 from paperloom.functions.text import strip
 
 
 def arxiv_id(raw: Column) -> Column:
     """The id that a typed text holds (URL, arXiv: prefix, bare new or old style), or NULL."""
     text = strip(raw)
-    url = F.regexp_replace(F.regexp_extract(text, r"arxiv\.org/(?:abs|pdf)/([^/\s?#]+)", 1), r"\.pdf", "")
-    prefixed = F.regexp_extract(text, r"arXiv:(\S+)", 1)
-    bare = F.regexp_extract(text, r"^(\d{4}\.\d{4,5}(?:v\d+)?|[a-zA-Z.-]+/\d{7}(?:v\d+)?)$", 1)
+    url = F.regexp_replace(F.regexp_extract(text, ARXIV_URL, 1), r"\.pdf", "")
+    prefixed = F.regexp_extract(text, ARXIV_PREFIX, 1)
+    bare = F.regexp_extract(text, ARXIV_BARE, 1)
     return F.coalesce(*(F.nullif(x, F.lit("")) for x in (url, prefixed, bare)))
 
 
@@ -24,7 +25,7 @@ def input_parts(inputs: DataFrame) -> DataFrame:
 
 
 def without_version(id_: Column) -> Column:
-    return F.regexp_replace(id_, r"v\d+$", "")
+    return F.regexp_replace(id_, ARXIV_VERSION, "")
 
 
 def atom_metadata(feeds: DataFrame) -> DataFrame:

@@ -31,6 +31,7 @@ def test_equals_sql(spark, db, name):
     assert rows(QUERIES[name](spark, DATA).toPandas()) == rows(db.sql(ORACLE[name]).df())
 
 
-@pytest.mark.parametrize("name", ["paragraphs", "clean_text", "section_segments", "figure_captions", "table_captions", "text_similarity", "question_clusters", "boilerplate_by_section"])
-def test_runs(spark, name):
-    assert QUERIES[name](spark, DATA).count() >= 0
+def test_nearly_all_have_sql():
+    """Those without are clusters of Ward and what is made of them, and captions (no look-ahead in the SQL's patterns); test_analyses holds them against plain Python."""
+    ward = {"method_clusters", "method_paragraphs", "intro_clusters", "intro_members", "problem_clusters", "problem_matrix", "problem_items", "figure_groups", "figure_items", "figure_stats", "discussion_patterns", "question_clusters", "question_items", "question_stats", "gap_groups", "report_summary", "overview_metrics", "chart_method_clusters", "chart_open_questions"}
+    assert set(QUERIES) - set(ORACLE) == ward | {"figure_captions", "table_captions"}

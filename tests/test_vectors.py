@@ -28,16 +28,19 @@ def dense(vectors, n):
 def test_tfidf_and_pairs(spark):
     texts = corpus()
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "idx long, text string")
-    vectors = V.tfidf(rows, V.word_counts(rows), 5000)
+    vectors = V.tfidf(rows, V.words(), 5000)
     m = dense(vectors, len(texts))
     assert np.allclose(np.linalg.norm(m, axis=1)[[0, 1, 6]], 1) and not m[7].any()
     s = m @ m.T
     expected = {(i, j) for i in range(60) for j in range(i + 1, 60) if s[i, j] >= 0.6}
     for method in ("prefix", "blocks"):
-        got = {(r.idx_a, r.idx_b): r.similarity for r in V.cosine_pairs(vectors, 0.6, method=method).collect()}
+        got = {(r.idx_a, r.idx_b): r.similarity for r in V.cosine_pairs(V.vectors(rows, V.words(), 5000), 0.6, method=method).collect()}
         assert set(got) == expected and all(abs(got[p] - s[p]) < 1e-9 for p in got)
-    first = [(r.idx_a, r.idx_b) for r in V.first_pairs(vectors, 0.6, 7).collect()]
-    assert first == sorted(expected)[:7]
+    split = {(r.idx_a, r.idx_b) for r in V.cosine_pairs(V.as_arrays(vectors), 0.6, method="prefix", hot_term=3).collect()}  # nearly every term is dealt to several tasks
+    assert split == expected
+    for fronts in (V.FRONTS, (4, 8), ()):
+        first = [(r.idx_a, r.idx_b) for r in V.first_pairs(V.as_arrays(vectors), 0.6, 7, fronts).collect()]
+        assert first == sorted(expected)[:7]
 
 
 def test_char_counts(spark):
@@ -46,6 +49,22 @@ def test_char_counts(spark):
     assert got[0, "ab"] == 2 and got[0, "b "] == 1 and got[1, "pl"] == 1
 
 
+def test_transform_and_models(spark):
+    rows = spark.createDataFrame([(0, "kiln kiln harbour"), (1, "harbour basin"), (2, "the")], "idx long, text string")
+    known = V.fit(rows, V.words(), 3)
+    other = spark.createDataFrame([(7, "basin basin"), (8, "unknown words"), (9, None)], "idx long, text string")
+    assert [(r.idx, [known.terms[t] for t in r.terms], r.weights) for r in V.transform(other, known).collect()] == [(7, ["basin"], [1.0])]
+    model = lambda texts: np.array([[len(t), 1.0] if t != "the" else [0.0, 0.0] for t in texts])
+    got = {(r.idx_a, r.idx_b): r.similarity for r in V.cosine_pairs(V.embedded(rows, model), 0.5).collect()}
+    assert list(got) == [(0, 1)] and got[0, 1] > 0.99
+
+
+def test_counts_of_tasks_are_summed(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(corpus())], "idx long, text string").repartition(3)
+    own = V.word_counts(rows).groupBy("term").agg(F.sum("tf").alias("ctf"), F.count("*").alias("df"))
+    assert {tuple(r) for r in V.vocabulary(rows, V.words(), 10_000).collect()} == {tuple(r) for r in own.collect()}
+
+
 def test_text_cosine():
     assert abs(V.text_cosine("kiln wavelet", "kiln wavelet") - 1) < 1e-12
     assert abs(V.text_cosine("", "   ") - 1) < 1e-12  # both are the placeholder
@@ -95,18 +114,18 @@ def test_components(spark):
 def test_ward_clusters_by_component(spark):
     texts = [t for t in corpus(40, 3) if t and t != "the of and"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "idx long, text string")
-    vectors = V.tfidf(rows, V.word_counts(rows), 5000)
+    vectors = V.tfidf(rows, V.words(), 5000)
     m = dense(vectors, len(texts))
-    got = C.ward_clusters(vectors, rows.select("idx"), 0.5, 1).collect()
+    got = C.ward_clusters(V.as_arrays(vectors), rows.select("idx"), 0.5, 1).collect()
     labels = np.array([{r.idx: r.cluster for r in got}[i] for i in range(len(texts))])
     assert partition(labels) == naive_ward(np.clip(1 - m @ m.T, 0, 2), 0.5)
 
 
 def test_empty_and_zero(spark):
     empty = spark.createDataFrame([], "idx long, text string")
-    vectors = V.tfidf(empty, V.word_counts(empty), 10)
+    vectors = V.vectors(empty, V.words(), 10)
     assert V.cosine_pairs(vectors, 0.5).count() == 0 and V.first_pairs(vectors, 0.5, 5).count() == 0
     assert C.ward_clusters(vectors, empty.select("idx"), 0.5, 1).count() == 0
     two = spark.createDataFrame([(0, "the"), (1, "kiln kiln"), (2, "harbour")], "idx long, text string")
-    joined = C.ward_clusters(V.tfidf(two, V.word_counts(two), 10), two.select("idx"), 0.75, 2)
+    joined = C.ward_clusters(V.vectors(two, V.words(), 10), two.select("idx"), 0.75, 2)
     assert joined.count() >= 2  # a text without terms is at distance 0 from the others
