@@ -112,9 +112,9 @@ def corpus_counts(texts: DataFrame, tokens: Tokens, blank: bool = True) -> DataF
 
         for batch in batches:
             for text in batch.column(1).to_pylist():
-                own = Counter(tokens(text))
-                total.update(own)
-                texts_with.update(own.keys())
+                found = tokens(text)
+                total.update(found)
+                texts_with.update(set(found))
                 n += 1
                 if len(total) > HELD_TERMS:
                     yield emitted()
