@@ -12,22 +12,25 @@ Disguised words are undone first: look-alike letters of other scripts, digits an
 letters, invisible characters, spaced, dotted and stretched letters; words with asterisks stand
 for the known words that they fit.
 
-Both training sets are bounded samples (``labelled``, ``unlabelled`` documents, those of least
-hash); every document is scored, whole.
+Both training sets are bounded samples: ``labelled`` rated and ``unlabelled`` other documents, those
+of least hash, and of either at most ``SAMPLE_CHARS`` characters. Tasks cut the samples into features
+and fit the categories, one task each. Every document is scored, whole, in one narrow pass.
 """
 
 from __future__ import annotations
 
+import pickle
+import re
 import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from functools import cache, lru_cache
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.sentences import sentence_spans
@@ -38,6 +41,7 @@ UNLABELLED = 6_000
 DIMENSIONS = 1 << 18
 ROUNDS = 3
 FOLDS = 3
+SAMPLE_CHARS = 20_000_000  # of a training sample; documents beyond it don't train
 CROSS = 12_000  # unlabelled sentences in the rounds; the final classifiers use all of the sample
 STEPS = 120
 THRESHOLD = 0.5
@@ -64,20 +68,37 @@ def patterns() -> dict[str, regex.Pattern]:
     }
 
 
+# quick tests, so that a pattern runs only over a text that can hold it
+CYRILLIC = re.compile("[\u0400-\u052f\u1c80-\u1c8f\u2de0-\u2dff\ua640-\ua69f]")
+HAN_APART = re.compile("[\u2e80-\u3007\u3021-\u3029\u3038-\u303b\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff] [\u2e80-\u3007\u3021-\u3029\u3038-\u303b\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+LETTER_BY_SIGN = re.compile(r"[^\W\d_]!*[\d@$€|]|[\d@$€|]!*[^\W\d_]")
+THRICE = re.compile(r"([^\W\d_])\1\1")
+ASCII_TOKEN = re.compile(r"[a-z]+\*{2,}[a-z]*|[a-z]+|[0-9]+")
+STARRED = re.compile(r"[^\W\d_]\*\*")
+
+
 def opened(text: str) -> str:
     """The text in its letter case, without invisible characters, with letters set apart joined."""
     p = patterns()
-    text = INVISIBLE.sub("", text).replace("\n", " ")
-    return p["han_apart"].sub("", p["apart"].sub(lambda m: p["letters"].sub("", m[0]), text))
+    text = (text if text.isascii() else INVISIBLE.sub("", text)).replace("\n", " ")
+    text = p["apart"].sub(lambda m: p["letters"].sub("", m[0]), text)
+    return p["han_apart"].sub("", text) if not text.isascii() and HAN_APART.search(text) else text
 
 
 def plain(text: str) -> str:
     """An opened text in lower case with disguised words undone."""
     p = patterns()
-    text = p["mixed"].sub(lambda m: m[0].translate(LOOKALIKES), unicodedata.normalize("NFKC", text).lower())
-    if p["latin"].search(text):
-        text = p["look"].sub(lambda m: t if (t := m[0].translate(LOOKALIKES)).isascii() and len(t) > 2 else m[0], text)
-    return p["long"].sub(r"\1", p["signed"].sub(lambda m: m[0].translate(SIGNS), text))
+    if text.isascii():
+        text = text.lower()
+    else:
+        text = (text if unicodedata.is_normalized("NFKC", text) else unicodedata.normalize("NFKC", text)).lower()
+        if CYRILLIC.search(text):
+            text = p["mixed"].sub(lambda m: m[0].translate(LOOKALIKES), text)
+            if p["latin"].search(text):
+                text = p["look"].sub(lambda m: t if (t := m[0].translate(LOOKALIKES)).isascii() and len(t) > 2 else m[0], text)
+    if LETTER_BY_SIGN.search(text):
+        text = p["signed"].sub(lambda m: (word := m[0].rstrip("!")).translate(SIGNS) + m[0][len(word) :], text)
+    return p["long"].sub(r"\1", text) if THRICE.search(text) else text
 
 
 def units(text: str | None) -> list[list[str]]:
@@ -86,32 +107,53 @@ def units(text: str | None) -> list[list[str]]:
         return []
     p, out = patterns(), []
     whole = opened(text)
-    for a, b in sentence_spans(whole):
+    # no line end is left in an opened text, so one keeps the sentences apart while all are made plain at once
+    for line in plain("\n".join(whole[a:b] for a, b in sentence_spans(whole))).split("\n"):
         words: list[str] = []
-        for w in p["token"].findall(plain(whole[a:b])):
-            if p["dense"].match(w):
-                words.extend(w)
-            else:
-                words.append("#" if w.isdigit() else w)
+        if line.isascii() and not STARRED.search(line):
+            words = ["#" if w[0] <= "9" else w for w in ASCII_TOKEN.findall(line)]
+        else:
+            for w in p["token"].findall(line):
+                if p["dense"].match(w):
+                    words.extend(w)
+                else:
+                    words.append("#" if w.isdigit() else w)
         if words:
             out.append(words)
     return out
 
 
-@lru_cache(maxsize=400_000)
-def code(word: str) -> int:
-    return zlib.crc32(word.encode()) & 0x7FFFFFFF
+class Codes(dict):
+    """Hashes of words, remembered for some hundred thousand of them."""
 
+    def __missing__(self, word: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        found = self[word] = zlib.crc32(word.encode()) & 0x7FFFFFFF
+        return found
 
-def indices(words: list[str], masked: dict[tuple[str, str, int], list[str]] | None = None) -> np.ndarray:
-    """Hashed features of a sentence: its tokens, pairs and triples, each once."""
-    if masked and any("*" in w for w in words):
-        words = [next(iter(masked.get((w[0], w[-1], len(w)), [])), w) if "*" in w else w for w in words]
-    h = np.fromiter((code(w) for w in words), np.int64, len(words))
+
+CODES = Codes()
+
+
+def features(sentences: list[list[str]], masked: dict[tuple[str, str, int], list[str]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(columns, sizes) of sentences: of each, the hashed features of its tokens, pairs and triples, ascending, each once."""
+    if masked:
+        sentences = [[next(iter(masked.get((w[0], w[-1], len(w)), [])), w) if "*" in w else w for w in words] if any("*" in w for w in words) else words for words in sentences]
+    sizes = np.fromiter((len(words) for words in sentences), np.int64, len(sentences))
+    h = np.fromiter((CODES[w] for words in sentences for w in words), np.int64, sizes.sum())
+    owner = np.repeat(np.arange(len(sentences)), sizes)
     two = (h[:-1] * 1_000_003 + h[1:] * 7_919 + 13) & 0x7FFFFFFFFFFF
     three = (two[:-1] * 31 + h[2:] * 104_729 + 29) & 0x7FFFFFFFFFFF
-    all_ = np.concatenate([h * 2_654_435_761 & 0x7FFFFFFFFFFF, two * 2_654_435_761 & 0x7FFFFFFFFFFF, three * 2_654_435_761 & 0x7FFFFFFFFFFF])
-    return np.unique((all_ >> 11) % DIMENSIONS)
+    pairs, triples = owner[:-1] == owner[1:], owner[:-2] == owner[2:]
+    keys = [(o * DIMENSIONS) + (((v * 2_654_435_761 & 0x7FFFFFFFFFFF) >> 11) % DIMENSIONS) for o, v in ((owner, h), (owner[:-1][pairs], two[pairs]), (owner[:-2][triples], three[triples]))]
+    found = np.unique(np.concatenate(keys))
+    return found % DIMENSIONS, np.bincount(found // DIMENSIONS, minlength=len(sentences))
+
+
+def indices(words: list[str], masked: dict[tuple[str, str, int], list[str]] | None = None) -> np.ndarray:
+    """The features of one sentence."""
+    return features([words], masked)[0]
 
 
 class Rows:
@@ -128,12 +170,20 @@ class Rows:
         else:
             rows = list(rows)
             share = np.ones(len(rows))
+        self.set(np.concatenate(rows) if rows else np.zeros(0, np.int64), np.array([len(r) for r in rows], np.int64))
         self.share = share / max(share.sum(), 1)
-        self.sizes = np.array([len(r) for r in rows], np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.columns = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+
+    @classmethod
+    def of(cls, columns: np.ndarray, sizes: np.ndarray) -> "Rows":
+        rows = cls([])
+        rows.set(columns, sizes)
+        return rows
+
+    def set(self, columns: np.ndarray, sizes: np.ndarray) -> None:
+        self.columns, self.sizes = columns, sizes
+        self.share = np.full(len(sizes), 1 / max(len(sizes), 1))
         self.scale = 1 / np.sqrt(np.maximum(self.sizes, 1))
-        self.owner = np.repeat(np.arange(len(rows)), self.sizes)
+        self.owner = np.repeat(np.arange(len(sizes)), sizes)
 
     def __len__(self) -> int:
         return len(self.sizes)
@@ -143,8 +193,22 @@ class Rows:
             return np.zeros(0)
         return np.bincount(self.owner, weights[self.columns], len(self)) * self.scale + bias
 
-    def gradient(self, errors: np.ndarray) -> np.ndarray:
-        return np.bincount(self.columns, (errors * self.scale)[self.owner], DIMENSIONS)
+
+class Side:
+    """Rows of one side of the risk over the columns of both, sorted both ways: sums are runs."""
+
+    def __init__(self, rows: Rows, names: np.ndarray):
+        self.share, self.scale, self.columns = rows.share, rows.scale, np.searchsorted(names, rows.columns)
+        self.starts = np.cumsum(rows.sizes) - rows.sizes
+        order = np.argsort(self.columns, kind="stable")
+        self.owner = rows.owner[order]
+        self.known, self.heads = np.unique(self.columns[order], return_index=True)
+
+    def times(self, weights: np.ndarray, bias: float) -> np.ndarray:
+        return np.add.reduceat(weights[self.columns], self.starts) * self.scale + bias
+
+    def add_gradient(self, errors: np.ndarray, total: np.ndarray) -> None:
+        total[self.known] += np.add.reduceat((errors * self.scale)[self.owner], self.heads)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -152,25 +216,31 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def nn_pu(positive: Rows, unlabelled: Rows, prior: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative risk with the logistic loss."""
-    w, b = np.zeros(DIMENSIONS), float(np.log(prior / (1 - prior)))
-    seen, seen_b = np.full(DIMENSIONS, 1e-8), 1e-8
+    """Weights and bias that minimise the non-negative risk with the logistic loss. Neither side, and no row, is empty."""
+    names = np.union1d(positive.columns, unlabelled.columns)
+    ours, theirs = Side(positive, names), Side(unlabelled, names)
+    w, b = np.zeros(len(names)), float(np.log(prior / (1 - prior)))
+    seen, seen_b = np.full(len(names), 1e-8), 1e-8
     for _ in range(steps):
-        zp, zu = positive.times(w, b), unlabelled.times(w, b)
+        zp, zu = ours.times(w, b), theirs.times(w, b)
         sp, su = sigmoid(zp), sigmoid(zu)
-        negative = unlabelled.share @ np.logaddexp(0, zu) - prior * (positive.share @ np.logaddexp(0, zp))
-        gp, gu = prior * (sp - 1) * positive.share, su * unlabelled.share  # of p E+[l(+)] and of EU[l(-)]
+        negative = theirs.share @ np.logaddexp(0, zu) - prior * (ours.share @ np.logaddexp(0, zp))
+        gp, gu = prior * (sp - 1) * ours.share, su * theirs.share  # of p E+[l(+)] and of EU[l(-)]
         if negative >= 0:
-            gp = gp - prior * sp * positive.share
+            gp = gp - prior * sp * ours.share
         else:  # the corrected part fell below zero: step back from it
-            gp, gu = gp + prior * sp * positive.share, -gu
-        g = positive.gradient(gp) + unlabelled.gradient(gu) + 1e-7 * w
+            gp, gu = gp + prior * sp * ours.share, -gu
+        g = 1e-7 * w
+        ours.add_gradient(gp, g)
+        theirs.add_gradient(gu, g)
         gb = float(gp.sum() + gu.sum())
         seen += g * g
         seen_b += gb * gb
         w -= 0.5 * g / np.sqrt(seen)
         b -= 0.1 * gb / np.sqrt(seen_b)
-    return w, b
+    out = np.zeros(DIMENSIONS)
+    out[names] = w
+    return out, b
 
 
 class Classifiers:
@@ -181,7 +251,7 @@ class Classifiers:
     def scores(self, texts: list[str | None]) -> list[tuple[float, ...]]:
         """Score of each category for each text."""
         sentences = [units(t) for t in texts]
-        rows = Rows([indices(s, self.masked) for some in sentences for s in some])
+        rows = Rows.of(*features([s for some in sentences for s in some], self.masked))
         found = {k: sigmoid(rows.times(w, b)) for k, (w, b) in self.weights.items()}
         out, at = [], 0
         for some in sentences:
@@ -190,76 +260,126 @@ class Classifiers:
         return out
 
 
-def fitted(labelled: list[tuple[str, dict[str, int]]], unlabelled: list[str], shares: dict[str, float]) -> Classifiers:
-    """labelled: (text, votes by category, ``none`` among them); shares: of all rated documents, by category."""
-    texts: dict[str, dict[str, int]] = {}
-    for text, votes in labelled:
-        known = texts.setdefault(text, defaultdict(int))
-        for k, n in votes.items():
-            known[k] += n
-    bags = [(units(t), v) for t, v in texts.items()]
-    words = {w for some, v in bags for s in some for w in s if len(w) > 3 and any(v.get(c) for c in CATEGORIES)}
-    masked: dict[tuple[str, str, int], list[str]] = defaultdict(list)
-    background = {w for t in unlabelled[:2000] for s in units(t) for w in s}
-    for w in sorted(words, key=lambda w: (w in background, w)):
-        if "*" not in w:
-            masked[w[0], w[-1], len(w)].append(w)
-    bags = [([indices(s, masked) for s in some], v) for some, v in bags]
-    pool = [indices(s, masked) for t in unlabelled for s in units(t)]
-    weights: dict[str, tuple[np.ndarray, float]] = {}
-    if not pool:
-        return Classifiers(weights, dict(masked))
+class Sample:
+    """What the classifiers are trained on: the features of the sentences of rated documents, with votes, and of unlabelled ones."""
+
+    def __init__(self, labelled: list[tuple[list[list[str]], dict[str, int]]], unlabelled: list[list[list[str]]], shares: dict[str, float]):
+        """labelled: (sentences as tokens, votes by category, ``none`` among them); shares: of all rated documents, by category."""
+        votes: dict[tuple, dict[str, int]] = {}
+        for some, own in labelled:  # equal texts are one
+            known = votes.setdefault(tuple(map(tuple, some)), defaultdict(int))
+            for k, n in own.items():
+                known[k] += n
+        words = {w for some, v in votes.items() for s in some for w in s if len(w) > 3 and any(v.get(c) for c in CATEGORIES)}
+        background = {w for some in unlabelled for s in some for w in s}
+        masked: dict[tuple[str, str, int], list[str]] = defaultdict(list)
+        for w in sorted(words, key=lambda w: (w in background, w)):
+            if "*" not in w:
+                masked[w[0], w[-1], len(w)].append(w)
+        self.masked = dict(masked)
+        own = self.rows([s for some in votes for s in some])
+        self.bags = [([next(own) for _ in some], dict(v)) for some, v in votes.items()]
+        self.pool = list(self.rows([s for some in unlabelled for s in some]))
+        self.length = len(self.pool) / max(1, len(unlabelled))
+        self.shares = shares
+
+    def rows(self, sentences: list) -> Iterator[np.ndarray]:
+        for at in range(0, len(sentences), 5_000):
+            columns, sizes = features(sentences[at : at + 5_000], self.masked)
+            yield from np.split(columns.astype(np.int32), np.cumsum(sizes)[:-1])
+
+
+def fitted(sample: Sample, category: str) -> tuple[np.ndarray, float] | None:
+    """The classifier of a category, or None where fewer than two documents are confirmed."""
+    marked = [some for some, v in sample.bags if v.get(category, 0) and v.get(category, 0) >= v.get("none", 0) and some]
+    pool = sample.pool
+    if len(marked) < 2 or not pool:
+        return None
     everything, small = Rows(pool, True), Rows(pool[:: max(1, len(pool) // CROSS)], True)
     base = np.bincount(everything.columns, everything.share[everything.owner], DIMENSIONS) * len(pool) + 0.5
-    length = len(pool) / max(1, len(unlabelled))
-    for category in CATEGORIES:
-        marked = [some for some, v in bags if v.get(category, 0) and v.get(category, 0) >= v.get("none", 0) and some]
-        if len(marked) < 2:
-            continue
-        counts = np.bincount(np.concatenate([np.unique(np.concatenate(some)) for some in marked]), minlength=DIMENSIONS)
-        odds = np.log((counts + 0.1) / (len(marked) + 1)) - np.log(base / (len(pool) + 1))
-        odds[counts < 1] = 0
-        prior = float(np.clip(shares.get(category, 0.03) / length, 5e-4, 0.2))
-        chosen: list[np.ndarray | None] = [max(some, key=lambda s: float(np.mean(np.sort(odds[s])[-12:]))) for some in marked]
-        for _ in range(ROUNDS):
-            # a document's sentence is chosen by a classifier that hasn't seen the document, so that
-            # what is special to one wrongly rated document isn't learnt
-            following: list[np.ndarray | None] = [None] * len(marked)
-            for fold in range(FOLDS):
-                train = [s for i, s in enumerate(chosen) if s is not None and i % FOLDS != fold]
-                if not train:
-                    continue
-                w, b = nn_pu(Rows(train, True), small, prior, STEPS // 2)
-                for i in range(fold, len(marked), FOLDS):
-                    z = Rows(marked[i]).times(w, b)
-                    following[i] = marked[i][int(np.argmax(z))] if z.max() > 0 else None
-            if sum(s is not None for s in following) < 2:
-                break
-            chosen = following
-        weights[category] = nn_pu(Rows((s for s in chosen if s is not None), True), everything, prior)
-    return Classifiers(weights, dict(masked))
-
-
-def training_sets(documents: DataFrame, ratings: DataFrame, labelled: int, unlabelled: int) -> tuple[list[tuple[str, dict[str, int]]], list[str], dict[str, float]]:
+    counts = np.bincount(np.concatenate([np.unique(np.concatenate(some)) for some in marked]), minlength=DIMENSIONS)
+    odds = np.log((counts + 0.1) / (len(marked) + 1)) - np.log(base / (len(pool) + 1))
+    odds[counts < 1] = 0
+    prior = float(np.clip(sample.shares.get(category, 0.03) / sample.length, 5e-4, 0.2))
+    chosen: list[np.ndarray | None] = [max(some, key=lambda s: float(np.mean(np.sort(odds[s])[-12:]))) for some in marked]
+    for _ in range(ROUNDS):
+        # a document's sentence is chosen by a classifier that hasn't seen the document, so that
+        # what is special to one wrongly rated document isn't learnt
+        following: list[np.ndarray | None] = [None] * len(marked)
+        for fold in range(FOLDS):
+            train = [s for i, s in enumerate(chosen) if s is not None and i % FOLDS != fold]
+            if not train:
+                continue
+            w, b = nn_pu(Rows(train, True), small, prior, STEPS // 2)
+            for i in range(fold, len(marked), FOLDS):
+                z = Rows(marked[i]).times(w, b)
+                following[i] = marked[i][int(np.argmax(z))] if z.max() > 0 else None
+        if sum(s is not None for s in following) < 2:
+            break
+        chosen = following
+    return nn_pu(Rows((s for s in chosen if s is not None), True), everything, prior)
+
+
+def token_rows(rows: DataFrame, kept: str) -> DataFrame:
+    """The rows with ``sentences``, the tokens of the sentences of ``text``, instead of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = pa.array([units(t) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.list_(pa.list_(pa.string())))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], cut], names=[*batch.schema.names[:-1], "sentences"])
+
+    return rows.mapInArrow(run, f"{kept}, sentences array<array<string>>")
+
+
+def bounded(ids: DataFrame, most: int) -> DataFrame:
+    """The ids (doc_id, h, chars, a bounded number of rows), in the order of h, of together at most ``most`` characters."""
+    before = F.sum("chars").over(Window.partitionBy(F.lit(0)).orderBy("h", "doc_id"))
+    return ids.withColumn("before", before).where(F.col("before") <= most).drop("before", "chars", "h")
+
+
+def training_sample(documents: DataFrame, ratings: DataFrame, labelled: int, unlabelled: int, most_chars: int = SAMPLE_CHARS) -> Sample:
     """The bounded samples, rated documents with their votes (confirmed ones first) and any documents; and the shares of the categories."""
     votes = ratings.where("doc_id IS NOT NULL AND category IS NOT NULL").groupBy("doc_id").agg(*(F.count_if(F.col("category") == c).alias(c) for c in (*CATEGORIES, "none")))
     total = votes.agg(F.count("*").alias("n"), *(F.avg(((F.col(c) > 0) & (F.col(c) >= F.col("none"))).cast("double")).alias(c) for c in CATEGORIES)).first()
-    marked = F.greatest(*CATEGORIES) > 0
-    chosen = votes.orderBy(F.when(marked, 0).otherwise(1), F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    rows = documents.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
-    known = [(r.text, {c: r[c] for c in (*CATEGORIES, "none")}) for r in rows.select("text", *CATEGORIES, "none").toLocalIterator()]
-    ids = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled)
-    others = documents.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ids.distinct()), "doc_id", "left_semi")
-    return known, [r.text for r in others.select("text").toLocalIterator()], {c: total[c] or 0.0 for c in CATEGORIES}
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    first = F.when(F.greatest(*CATEGORIES) > 0, 0).otherwise(1)
+    chosen = votes.withColumn("h", F.struct(first.alias("first"), F.xxhash64("doc_id").alias("hash"))).orderBy("h", "doc_id").limit(labelled)
+    sized = texts.select("doc_id", F.length("text").cast("long").alias("chars"))
+    chosen = bounded(sized.join(F.broadcast(chosen), "doc_id"), most_chars)  # at most ``labelled`` ids; a text delivered twice counts twice
+    rows = texts.join(F.broadcast(chosen.distinct()), "doc_id").select(*CATEGORIES, "none", "text")
+    known = [(r.sentences, {c: r[c] for c in (*CATEGORIES, "none")}) for r in token_rows(rows, ", ".join(f"{c} long" for c in (*CATEGORIES, "none"))).toLocalIterator()]
+    ids = sized.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(unlabelled)
+    others = texts.join(F.broadcast(bounded(ids, most_chars).distinct()), "doc_id", "left_semi").select("doc_id", "text")
+    return Sample(known, [r.sentences for r in token_rows(others, "doc_id long").toLocalIterator()], {c: total[c] or 0.0 for c in CATEGORIES})
+
+
+def trained(documents: DataFrame, ratings: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Classifiers:
+    """The classifiers of all categories, each fitted in a task of its own."""
+    spark = documents.sparkSession
+    sample = training_sample(documents, ratings, labelled, unlabelled)
+    shared = spark.sparkContext.broadcast(zlib.compress(pickle.dumps(sample, 5), 1))  # of bounded size
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for category in batch.column(0).to_pylist():
+                found = fitted(pickle.loads(zlib.decompress(shared.value)), category)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([category]), pa.array([found[0].astype(np.float32).tobytes()], pa.binary()), pa.array([found[1]], pa.float64())], names=["category", "weights", "bias"])
+
+    parts = spark.range(len(CATEGORIES), numPartitions=len(CATEGORIES)).select(F.element_at(F.array(*(F.lit(c) for c in CATEGORIES)), (F.col("id") + 1).cast("int")).alias("category"))
+    found = parts.mapInArrow(fit, "category string, weights binary, bias double").collect()
+    shared.unpersist()
+    return Classifiers({r.category: (np.frombuffer(r.weights, np.float32), r.bias) for r in found}, sample.masked)
 
 
-def content_scores(documents: DataFrame, ratings: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> DataFrame:
+def content_scores(documents: DataFrame, ratings: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED, model: Classifiers | None = None) -> DataFrame:
     """(doc_id, source, abuse, hate, sexual): a row for each row of ``documents``.
 
     NULL, empty and blank texts score 0; without ratings of a category (or any table empty) all
-    its scores are 0. One narrow pass; other columns are not read.
+    its scores are 0. One narrow pass; other columns are not read. ``model``: classifiers that
+    ``trained`` made before.
     """
-    model = documents.sparkSession.sparkContext.broadcast(fitted(*training_sets(documents, ratings, labelled, unlabelled)))
+    model = documents.sparkSession.sparkContext.broadcast(model or trained(documents, ratings, labelled, unlabelled))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
