@@ -11,6 +11,7 @@ import regex
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0x2545F4914F6CDD1D
+SECOND_BASE = 0xD1342543DE82EF95  # of another hash of the same windows
 CHUNK_CHARS = 1_000_000  # characters handled at once by numpy; a longer text is a chunk of its own
 
 
@@ -64,7 +65,7 @@ def mixed(values: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def rolling(values: np.ndarray, size: int) -> np.ndarray:
+def rolling(values: np.ndarray, size: int, base: int = BASE) -> np.ndarray:
     """Polynomial hashes of all windows of ``size`` values, built by doubling; shorter input gives none."""
     if len(values) < size:
         return np.zeros(0, np.uint64)
@@ -72,14 +73,14 @@ def rolling(values: np.ndarray, size: int) -> np.ndarray:
     length = 1
     with np.errstate(over="ignore"):
         while 2 * length <= size:
-            h, shift = power[length], np.uint64(pow(BASE, length, 1 << 64))
+            h, shift = power[length], np.uint64(pow(base, length, 1 << 64))
             power[2 * length] = h[:-length] * shift + h[length:]
             length *= 2
         out, done = power[length], length
         while done < size:
             length = 1 << ((size - done).bit_length() - 1)
             n = len(values) - done - length + 1
-            out = out[:n] * np.uint64(pow(BASE, length, 1 << 64)) + power[length][done : done + n]
+            out = out[:n] * np.uint64(pow(base, length, 1 << 64)) + power[length][done : done + n]
             done += length
     return out
 

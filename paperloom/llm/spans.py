@@ -1,15 +1,18 @@
 """Long spans that stand letter for letter in the texts of more than one paper.
 
-Method: count-min prefilter. Every window of ``span`` characters has an anchor, the least hash of
-the shorter windows in it, so equal windows have equal anchors. Each partition counts the anchors
-of its texts in a count-min sketch (cells saturate at two, which is all that is asked); the merged
-sketch never underestimates. A second pass groups exactly only the anchors estimated repeated,
-then, in the texts that hold an anchor of several papers, the windows of those anchors; nothing is
-lost. No group is ever collected: a window is shared if the least and the greatest paper number
-among its occurrences differ.
-
-The sketch has a fixed largest size. On a corpus too large for it cells fill up and fewer anchors
-are dropped early; the exact grouping of anchors, a fiftieth of the characters, carries the rest.
+Method: count-min prefilter. Every window of ``span`` characters has an anchor, the window of half
+the length in it that hashes least, so equal windows have equal anchors, and a text has about one
+anchor for each quarter of ``span``. Each task counts the anchors of its texts in a count-min sketch
+(cells saturate at two, which is all that is asked); the merged sketch never underestimates. A second
+pass groups exactly only the anchors estimated repeated, then, in the texts that hold an anchor of
+several papers, the windows of those anchors by 96-bit hashes; nothing is lost.
+
+The sketch grows with the corpus: it is kept as rows, in shards of a fixed number of anchors, and the
+anchors go to their shard, so the share of lone anchors that pass (about 1 %) is the same at every
+size. Anchors that several papers of one chunk hold are repeated for certain; they pass without a
+test and are spread over the tasks, so no shard gathers a hot passage. No group is ever collected: a
+window is shared if the least and the greatest paper number among its occurrences differ, and keys
+that hold a large share of all rows are joined by broadcast.
 """
 
 from __future__ import annotations
@@ -22,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.grams import chunks, joined, mixed, points, rolling, sliding_min, window_owner
+from paperloom.llm.grams import SECOND_BASE, chunks, joined, mixed, points, rolling, sliding_min, window_owner
 from paperloom.session import durable
 
 SPAN = 200
 DEPTH = 3
-CELLS = (1 << 16, 1 << 22)  # least and largest number of cells in a row of the sketch
-BLOCK = 1 << 17  # cells merged by one task at a time
+CELLS = 1 << 20  # in each of the rows of a shard of the sketch
+LOAD = 4  # cells of a row for each anchor
+HELD = 4_000_000  # cells that a task counts before it hands them on
+HOT = 2_000  # a key is hot if it holds more than this part of all rows: there are at most so many hot keys
 
 
 def anchors(parts: list[np.ndarray], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,10 +54,6 @@ def distinct_anchors(parts: list[np.ndarray], span: int) -> tuple[np.ndarray, np
     return pairs["owner"], pairs["least"]
 
 
-def cells_of(least: np.ndarray, cells: int) -> list[np.ndarray]:
-    return [(mixed(least, 31 + d) & np.uint64(cells - 1)).astype(np.int64) + d * cells for d in range(DEPTH)]
-
-
 def long_texts(papers: DataFrame, fields: tuple[str, ...], span: int) -> DataFrame:
     """(paper_idx, section_name, text) of the texts that can hold a window."""
     rows = papers.where("paper_idx IS NOT NULL").select(F.col("paper_idx").cast("long").alias("paper_idx"), F.posexplode(F.array(*(papers[f].cast("string") for f in fields))).alias("k", "text"))
@@ -66,40 +67,91 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.nd
             yield some, [points(r[2]) for r in some]
 
 
-def sketch(texts: DataFrame, span: int, cells: int) -> np.ndarray:
-    """The merged cells, 0, 1 or 2: in how many texts (at least) an anchor of the cell stands."""
+def cells_of(least: np.ndarray, shards: int, cells: int) -> np.ndarray:
+    """A row a depth: the cells of anchors, numbered through all shards."""
+    shard = (mixed(least, 29) % np.uint64(shards)).astype(np.int64)
+    return np.stack([(mixed(least, 31 + d) % np.uint64(cells)).astype(np.int64) + (shard * DEPTH + d) * cells for d in range(DEPTH)])
+
+
+def estimated_repeated(texts: DataFrame, span: int, shards: int, cells: int = CELLS) -> DataFrame:
+    """(anchor, paper_idx, k): the anchors of the texts that the sketch estimates in several texts."""
+    whole = DEPTH * cells  # cells of a shard
+    names = ["shard", "kind", "anchor", "paper_idx", "k", "cells"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+
+    def batch_of(n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(names, kinds)], names=names)
+
+    def sketched(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Rows of partial sketches: the cells counted once, and those counted more often."""
+        at, times = np.unique(np.concatenate(held), return_counts=True)
+        for some, step in ((at, 1), (at[times > 1], 2)):
+            own = some // whole
+            for shard, part in zip(np.unique(own).tolist(), np.split(some % whole, np.flatnonzero(np.diff(own)) + 1) if len(some) else []):
+                packed = zlib.compress(np.diff(part, prepend=0).astype(np.uint32).tobytes(), 1)
+                yield batch_of(1, shard=[shard], kind=[0], k=[step], cells=[packed])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(DEPTH * cells, np.uint8)
-        for _, parts in pieces(batches):
-            _, least = distinct_anchors(parts, span)
-            for at in cells_of(least, cells):
-                hit, times = np.unique(at, return_counts=True)
-                own[hit] = np.minimum(2, own[hit] + np.minimum(2, times)).astype(np.uint8)
-        for b in range(0, len(own), BLOCK):
-            part = own[b : b + BLOCK]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["at", "cells"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        held, size = [], 0
+        for rows, parts in pieces(batches):
+            owner, least = distinct_anchors(parts, span)
+            if not len(least):
+                continue
+            held.append(cells_of(least, shards, cells).ravel())
+            size += len(held[-1])
+            paper, k = np.array([r[0] for r in rows], np.int64)[owner], np.array([r[1] for r in rows], np.int32)[owner]
+            order = np.lexsort((paper, least))
+            least, paper, k = least[order], paper[order], k[order]
+            heads = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+            sizes = np.diff(np.r_[heads, len(least)])
+            certain = np.repeat(np.minimum.reduceat(paper, heads) != np.maximum.reduceat(paper, heads), sizes)
+            shard = np.where(certain, -1 - (mixed(paper.view(np.uint64), 3) % np.uint64(1024)).astype(np.int64), (mixed(least, 29) % np.uint64(shards)).astype(np.int64))
+            yield batch_of(len(least), shard=shard, kind=np.where(certain, 2, 1).astype(np.int32), anchor=least.view(np.int64), paper_idx=paper, k=k)
+            if size > HELD:
+                yield from sketched(held)
+                held, size = [], 0
+        if held:
+            yield from sketched(held)
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, known = None, np.zeros(whole, np.uint8)
         for batch in batches:
-            for b, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.frombuffer(zlib.decompress(data), np.uint8)
-                total[b] = np.minimum(2, total[b] + part) if b in total else part
-        for b, part in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([zlib.compress(part.astype(np.uint8).tobytes(), 1)], pa.binary())], names=["at", "cells"])
-
-    out = np.zeros(DEPTH * cells, np.uint8)
-    schema = "at long, cells binary"
-    # one row per block of the merged sketch: its fixed size is all that reaches the driver
-    for row in texts.mapInArrow(count, schema).repartition("at").mapInArrow(merge, schema).toLocalIterator():
-        part = np.frombuffer(zlib.decompress(row.cells), np.uint8)
-        out[row.at : row.at + len(part)] = part
-    return out
-
-
-def shared_spans(papers: DataFrame, fields: tuple[str, ...] = ("introduction", "methods"), span: int = SPAN) -> DataFrame:
+            where, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            keep = kind == 2
+            cuts = np.r_[0, np.flatnonzero((where[1:] != where[:-1]) | (kind[1:] != kind[:-1])) + 1, len(where)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a == b or kind[a] == 2:
+                    continue
+                if where[a] != shard:
+                    shard = where[a]
+                    known[:] = 0
+                if kind[a] == 0:
+                    for step, packed in zip(batch.column(4).slice(a, b - a).to_pylist(), batch.column(5).slice(a, b - a).to_pylist()):
+                        at = np.cumsum(np.frombuffer(zlib.decompress(packed), np.uint32), dtype=np.int64)
+                        known[at] = np.minimum(2, known[at] + step)
+                else:
+                    own = batch.column(2).slice(a, b - a).to_numpy().view(np.uint64)
+                    keep[a:b] = (known[cells_of(own, shards, cells) % whole] >= 2).all(0)
+            yield batch.select(["anchor", "paper_idx", "k"]).filter(pa.array(keep))
+
+    rows = texts.mapInArrow(count, "shard long, kind int, anchor long, paper_idx long, k int, cells binary")
+    return rows.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(test, "anchor long, paper_idx long, k int")
+
+
+def of_several(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows whose key stands in several papers.
+
+    Only the least and greatest paper of a key are found, summed in each task first. Keys with more
+    than a ``HOT``-th of all rows, so at most ``HOT`` of them, are broadcast, the others meet by key.
+    """
+    total = rows.count()
+    found = durable(rows.groupBy(*keys).agg(F.min("paper_idx").alias("low"), F.max("paper_idx").alias("high"), F.count("*").alias("n")).where("low < high").select(*keys, "n"))
+    hot = F.col("n") > max(1_000, total // HOT)
+    few = F.broadcast(found.where(hot).select(*keys))
+    return rows.join(few, list(keys), "left_semi").unionByName(rows.join(few, list(keys), "left_anti").join(found.where(~hot).select(*keys), list(keys), "left_semi"))
+
+
+def shared_spans(papers: DataFrame, fields: tuple[str, ...] = ("introduction", "methods"), span: int = SPAN, cells: int = CELLS) -> DataFrame:
     """(paper_idx, section_name, start_pos, end_pos): the longest stretches of characters that lie in windows of
     ``span`` characters standing in a text of another paper too.
 
@@ -108,42 +160,28 @@ def shared_spans(papers: DataFrame, fields: tuple[str, ...] = ("introduction", "
     """
     texts = long_texts(papers, fields, span)
     total = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    cells = CELLS[0]
-    while cells < min(CELLS[1], 4 * total // (span // 4)):
-        cells *= 2
-    known = papers.sparkSession.sparkContext.broadcast(np.packbits(sketch(texts, span, cells) >= 2))
-
-    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice = np.unpackbits(known.value)
-        for rows, parts in pieces(batches):
-            owner, least = distinct_anchors(parts, span)
-            kept = np.logical_and.reduce([twice[at] > 0 for at in cells_of(least, cells)])
-            owner, least = owner[kept], least[kept]
-            ids, ks = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(ids[owner]), pa.array(ks[owner])], names=["anchor", "paper_idx", "k"])
-
-    candidates = durable(texts.mapInArrow(repeated, "anchor long, paper_idx long, k int"))
-    several = candidates.groupBy("anchor").agg(F.min("paper_idx").alias("low"), F.max("paper_idx").alias("high")).where("low < high").select("anchor")
-    hits = candidates.join(several, "anchor").groupBy("paper_idx", "k").agg(F.collect_set("anchor").alias("anchors"))
+    anchors_of_all = total * 4 // span
+    candidates = durable(estimated_repeated(texts, span, anchors_of_all * LOAD // cells + 1, cells))
+    hits = of_several(candidates, "anchor").groupBy("paper_idx", "k").agg(F.collect_set("anchor").alias("anchors"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = list(zip(*(batch.column(i).to_pylist() for i in range(4))))
             for some in chunks(rows, [len(r[2]) for r in rows]):
-                out = ([], [], [], [])
+                out = ([], [], [], [], [])
                 for paper, k, text, wanted in some:
                     part = points(text)
                     start, _, least = anchors([part], span)
                     at = start[np.isin(least.view(np.int64), np.array(wanted, np.int64))]
                     out[0].append(mixed(rolling(part, span))[at].view(np.int64))
-                    out[1].append(np.full(len(at), paper, np.int64))
-                    out[2].append(np.full(len(at), k, np.int32))
-                    out[3].append(at.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["window", "paper_idx", "k", "at"])
-
-    found = durable(texts.join(hits, ["paper_idx", "k"]).select("paper_idx", "k", "text", "anchors").mapInArrow(windows, "window long, paper_idx long, k int, at int"))
-    common = found.groupBy("window").agg(F.min("paper_idx").alias("low"), F.max("paper_idx").alias("high")).where("low < high").select("window")
-    starts = found.join(common, "window", "left_semi").groupBy("paper_idx", "k").agg(F.collect_set("at").alias("starts"))
+                    out[1].append((mixed(rolling(part, span, SECOND_BASE), 17)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                    out[2].append(np.full(len(at), paper, np.int64))
+                    out[3].append(np.full(len(at), k, np.int32))
+                    out[4].append(at.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["window", "more", "paper_idx", "k", "at"])
+
+    found = durable(texts.join(hits, ["paper_idx", "k"]).select("paper_idx", "k", "text", "anchors").mapInArrow(windows, "window long, more int, paper_idx long, k int, at int"))
+    starts = of_several(found, "window", "more").groupBy("paper_idx", "k").agg(F.collect_set("at").alias("starts"))
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

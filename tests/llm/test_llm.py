@@ -246,3 +246,34 @@ def test_content_classifier(spark):
     rates = {x.source: x for x in toxicity.content_rates(d, r).collect()}
     assert rates[None].n_docs == 1 and abs(rates["s"].abuse_rate - 30 / 301) < 1e-5
     assert toxicity.found_content(d, r.limit(0)).count() == 0 and toxicity.found_content(d.limit(0), r).count() == 0
+
+
+@pytest.mark.parametrize("papers", [300, 3_000])
+def test_sketch_filters_alike_at_every_size(spark, papers):
+    """One text in ten is copied from another; the share of lone anchors that pass stays where it is as shards are added."""
+    rng = np.random.default_rng(7)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz "))
+    texts = ["".join(rng.choice(letters, 600)) for _ in range(papers)]
+    texts[::10] = texts[5::10][: len(texts[::10])]
+    rows = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "paper_idx long, introduction string, methods string").repartition(7)
+    long = spans.long_texts(rows, ("introduction",), 200)
+    cells = 1 << 12
+    own = [(i, a) for i, t in enumerate(texts) for a in spans.distinct_anchors([spans.points(t)], 200)[1].view(np.int64).tolist()]
+    times = {}
+    for _, a in own:
+        times[a] = times.get(a, 0) + 1
+    passed = {(r.paper_idx, r.anchor) for r in spans.estimated_repeated(long, 200, len(own) * spans.LOAD // cells + 1, cells).collect()}
+    assert {(i, a) for i, a in own if times[a] > 1} <= passed
+    lone = sum(times[a] == 1 for _, a in passed) / sum(n == 1 for n in times.values())
+    print("share of lone anchors that pass", papers, lone)
+    assert lone < 0.03
+    got = spans.shared_spans(rows, ("introduction",), cells=cells)
+    assert got.count() == 2 * len(texts[::10])
+
+
+def test_hot_passage_is_in_every_paper(spark, monkeypatch):
+    monkeypatch.setattr(spans, "HOT", 1)
+    text = "".join(random.Random(11).choice("abcdefgh klmno") for _ in range(260))
+    rows = spark.createDataFrame([(i, text, f"{i} " * 90) for i in range(1_500)], "paper_idx long, introduction string, methods string")
+    got = spans.shared_spans(rows).groupBy("section_name", "start_pos", "end_pos").count().collect()
+    assert {tuple(r) for r in got if r.section_name == "introduction"} == {("introduction", 0, 260, 1_500)}
