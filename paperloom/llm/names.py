@@ -5,8 +5,10 @@ keeps one of them whole, at most one place shifted, so looking up the shifted su
 key in an inverted index of segments finds all its neighbours, which a banded edit distance
 verifies. (One neighbour escapes the pigeonholes: two letters exchanged across the cut. It has an
 index entry of its own, the key with the two letters at the cut in order.) The join runs over
-distinct surnames (the name of an organisation) and distinct given names; spellings then meet by
-equality of what they stand for: nickname, initial, order, case, accents, titles and particles.
+distinct surnames (the name of an organisation) and distinct given names; the few letters of a short
+one are joined only where the other part of the name agrees. A slip goes over to the heavier
+neighbour, and on from there to its own, to the end of the chain. Spellings then meet by equality of
+what they stand for: nickname, initial, order, case, accents, titles, particles and left-out parts.
 """
 
 from __future__ import annotations
@@ -45,6 +47,7 @@ NICKNAMES = {
 }
 # Nicknames that stand for two names; the spellings around them decide.
 SHARED_NICKNAMES = {"ted": ("theodore", "edward"), "teddy": ("theodore", "edward")}
+SHORT = 5  # letters under which one edit makes another name, so that the other part must agree
 RATIO = 4  # a spelling is a slip of a neighbour that is at least so many times as frequent (for given names)
 
 PARSED = "name string, kind string, surname string, given string, middle string, suffix string, other string"
@@ -68,12 +71,16 @@ def parsed(name: str) -> tuple[str, str, str, str, str, str] | None:
         rest = [w for w in low[at + 1 :] if w not in SMALL_WORDS]
         own = [w for w in low[:at] if w not in SMALL_WORDS] or [rest.pop() if rest else kind]
         return "organisation", "".join(own), kind + " " + " ".join(w[:4] for w in rest), "", "", ""
-    suffix, tokens = "", []
-    for token in re.findall(r"[^\s,]+|,", plain):
+    suffix, tokens, found = "", [], re.findall(r"[^\s,]+|,", plain)
+    # after a surname alone, capitals are initials (Family FM), whatever else they could stand for
+    family_only = len(found) > 1 and re.fullmatch(r"[A-Z]{1,3}", found[-1]) and not found[-2].isupper() and all(re.sub(r"\W", "", t).lower() in PARTICLES for t in found[:-2])
+    for k, token in enumerate(found):
         word = re.sub(r"[.'’]", "", token).lower()
-        if word in TITLES or word in DEGREES:
+        if family_only and k == len(found) - 1:
+            tokens.append(token)
+        elif word in TITLES or word in DEGREES:
             continue
-        if word in JUNIORS and tokens and not (token == "JR" and len(tokens) == 1 and not tokens[0].isupper()):
+        elif word in JUNIORS and tokens:
             suffix = JUNIORS[word]
         else:
             tokens.append(token)
@@ -146,47 +153,63 @@ def within(a: str, b: str, most: int = 1) -> bool:
     return row.get(len(b), far) <= most
 
 
-def neighbours(keys: DataFrame, least: int = 5) -> DataFrame:
-    """(key, near) in both directions: distinct keys one edit apart. ``keys`` has the column key, each once.
+def neighbours(keys: DataFrame, least: int = 1) -> DataFrame:
+    """(place, key, near) in both directions: distinct keys of a place one edit apart. keys: place, key, each pair once.
 
-    Keys shorter than ``least`` have no neighbours: one edit makes another name of them.
+    Keys under ``least`` letters have no neighbours. The index is by place, length and segment, so
+    only keys of one place that share a whole segment meet.
     """
 
     def entries(find: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [(k, *e) for k in batch.column(0).to_pylist() for e in (probes(k) if find else segments(k))]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["key", "place", "part"])
+                rows = [(p, k, *e) for p, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for e in (probes(k) if find else segments(k))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], names=["place", "key", "cut", "part"])
 
         return run
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            a, b = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             yield batch.filter(pa.array([within(x, y) for x, y in zip(a, b)], pa.bool_()))
 
-    long = keys.where(F.length("key") >= least).select("key")
-    index = long.mapInArrow(entries(False), "key string, place string, part string").withColumnRenamed("key", "near")
-    found = long.mapInArrow(entries(True), "key string, place string, part string").join(index, ["place", "part"])
-    pairs = found.where("key <> near").select("key", "near").distinct().mapInArrow(verify, "key string, near string")
-    return pairs.union(pairs.select(F.col("near").alias("key"), F.col("key").alias("near"))).distinct()
+    long = keys.where(F.length("key") >= least).select("place", "key")
+    index = long.mapInArrow(entries(False), "place string, key string, cut string, part string").withColumnRenamed("key", "near")
+    found = long.mapInArrow(entries(True), "place string, key string, cut string, part string").join(index, ["place", "cut", "part"])
+    pairs = found.where("key <> near").select("place", "key", "near").distinct().mapInArrow(verify, "place string, key string, near string")
+    return pairs.union(pairs.select("place", F.col("near").alias("key"), F.col("key").alias("near"))).distinct()
+
 
+def canonical(keys: DataFrame, ratio: float, least: int = SHORT) -> DataFrame:
+    """(place, key, meant) of the keys that mean another: the end of the chain of ever heavier spellings.
 
-def canonical(keys: DataFrame, ratio: float) -> DataFrame:
-    """(key, meant): the heaviest spelling within one edit that outweighs the key ``ratio`` times, else the key. ``keys``: key, weight."""
-    near = neighbours(keys).join(keys.select(F.col("key").alias("near"), F.col("weight").alias("heavier")), "near")
-    best = near.groupBy("key").agg(F.max(F.struct("heavier", "near")).alias("best"))
-    own = keys.join(best, "key", "left")
+    A step goes to the heaviest spelling within one edit that outweighs the key ``ratio`` times, the
+    lesser of two at the limit, so chains have no circles. ``keys``: place, key, weight.
+    """
+    keys = durable(keys.select("place", "key", "weight"))
+    near = neighbours(keys, least).join(keys.select("place", F.col("key").alias("near"), F.col("weight").alias("heavier")), ["place", "near"])
+    best = near.groupBy("place", "key").agg(F.max(F.struct("heavier", "near")).alias("best"))
     takes = (F.col("best.heavier") > F.col("weight") * ratio) | ((F.col("best.heavier") == F.col("weight") * ratio) & (F.col("best.near") < F.col("key")))
-    return own.select("key", F.when(takes, F.col("best.near")).otherwise(F.col("key")).alias("meant"))
+    steps = durable(keys.join(best, ["place", "key"]).where(takes).select("place", "key", F.col("best.near").alias("meant")))
+    while True:
+        further = steps.select("place", F.col("key").alias("meant"), F.col("meant").alias("end"))
+        jumped = durable(steps.join(further, ["place", "meant"], "left").select("place", "key", F.coalesce("end", "meant").alias("meant"), F.col("end").isNotNull().alias("moved")))
+        steps = jumped.drop("moved")
+        if jumped.where("moved").isEmpty():
+            return steps
+
+
+def replaced(rows: DataFrame, column: str, place: Column, meant: DataFrame) -> DataFrame:
+    """The rows with ``column`` as ``meant`` (place, key, meant) has it; the few slips are the small side."""
+    return rows.withColumn("_place", place).join(meant.select(F.col("place").alias("_place"), F.col("key").alias(column), "meant"), ["_place", column], "left").withColumn(column, F.coalesce("meant", column)).drop("_place", "meant")
 
 
 def name_entities(names: DataFrame) -> DataFrame:
     """(name, entity): ``names`` has the column name; an entity is a key of kind, surname, given name, middle initial and suffix.
 
-    NULL, empty and filler entries are left out. Names of equal spelling are one row. An initial
-    joins the only given name of its surname that it can stand for; where there are several (or a
-    missing middle name could be one of several) the spelling stays by itself.
+    NULL, empty and filler entries are left out. Names of equal spelling are one row. A suffix (Jr.)
+    counts only where the same name stands with another one (Sr.) too. An initial the only given name of its surname that it can stand for; where there are several (or a missing
+    middle name could be one of several) the spelling stays by itself.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,19 +218,31 @@ def name_entities(names: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(7)], names=[c.split()[0] for c in PARSED.split(", ")])
 
     rows = durable(names.where("name IS NOT NULL").select("name").distinct().mapInArrow(run, PARSED))
-    surnames = canonical(rows.groupBy(F.concat_ws(" ", "kind", "surname").alias("key")).agg(F.count("*").cast("double").alias("weight")), 1.0)
-    givens = canonical(rows.where("kind = 'person' AND length(given) > 1").groupBy(F.col("given").alias("key")).agg(F.count("*").cast("double").alias("weight")), RATIO)
-    rows = rows.withColumn("key", F.concat_ws(" ", "kind", "surname")).join(surnames, "key").drop("key", "surname").withColumnRenamed("meant", "surname")
-    rows = rows.join(givens.withColumnRenamed("key", "given"), "given", "left").withColumn("given", F.coalesce("meant", "given")).drop("meant")
+    weight = F.count("*").cast("double").alias("weight")
+    person = F.col("kind") == "person"
+    rows = replaced(rows, "surname", F.col("kind"), canonical(rows.groupBy(F.col("kind").alias("place"), F.col("surname").alias("key")).agg(weight), 1.0))
+    whole_names = rows.where(person & (F.length("given") > 1))
+    rows = replaced(rows, "given", F.col("kind"), canonical(whole_names.groupBy(F.col("kind").alias("place"), F.col("given").alias("key")).agg(weight), RATIO))
+    # short parts of a name: slips where the other part is the same
+    for part, other in (("given", "surname"), ("surname", "given")):
+        short = rows.where(person & (F.length("given") > 1) & (F.length("surname") > 1) & (F.length(part) <= SHORT))
+        meant = canonical(short.groupBy(F.col(other).alias("place"), F.col(part).alias("key")).agg(weight), RATIO, 2)
+        rows = replaced(rows, part, F.when(person, F.col(other)), meant)
+    rows = durable(rows)
 
     # a nickname of two names stands for the one that the surname has
-    rows = rows.withColumn("surname", F.substring_index("surname", " ", -1))
     full = rows.where("length(given) > 1 AND other = ''").groupBy("surname", "given").agg(F.count("*").alias("spellings"))
     seen = full.select("surname", F.col("given").alias("other"), F.col("spellings").alias("as_other"))
     rows = rows.join(full, ["surname", "given"], "left").join(seen, ["surname", "other"], "left")
     rows = rows.withColumn("given", F.when(F.col("spellings").isNull() & F.col("as_other").isNotNull(), F.col("other")).otherwise(F.col("given"))).drop("other", "spellings", "as_other")
     rows = durable(rows)
 
+    # a suffix is left out as often as not: it tells persons apart only where a name has several
+    known_suffix = F.when(F.col("suffix") != "", F.col("suffix"))
+    own = ["kind", "surname", "given"]
+    several = rows.groupBy(*own).agg(F.min(known_suffix).alias("low"), F.max(known_suffix).alias("high")).where("low < high").select(*own, F.lit(True).alias("several"))
+    rows = rows.join(several, own, "left").withColumn("suffix", F.when(F.col("several"), F.col("suffix")).otherwise("")).drop("several")
+
     # letters after a name: the only organisation of that name and of these initials
     acronym = F.array_join(F.transform(F.split("given", " "), lambda w: F.substring(w, 1, 1)), "")
     bodies = rows.where("kind = 'organisation'").groupBy("surname", acronym.alias("letters")).agg(F.countDistinct("given").alias("n"), F.min("given").alias("body")).where("n = 1").drop("n")
@@ -237,6 +272,12 @@ def name_entities(names: DataFrame) -> DataFrame:
     return rows.select("name", F.concat_ws("|", "kind", "surname", "given", F.coalesce("middle", F.lit("")), "suffix").alias("entity"))
 
 
+def author_entities(papers: DataFrame) -> DataFrame:
+    """(name, entity, spellings): every spelling in ``authors`` once, its entity and how many spellings that has."""
+    entities = durable(name_entities(papers.select(F.explode("authors").alias("name"))))
+    return entities.join(entities.groupBy("entity").agg(F.count("*").alias("spellings")), "entity").select("name", "entity", "spellings")
+
+
 def name_variants(papers: DataFrame) -> DataFrame:
     """(name_a, name_b): pairs of different strings in ``authors`` that name the same person or organisation, the smaller first."""
     names = papers.select(F.explode("authors").alias("name"))

@@ -51,6 +51,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_variants(table(spark, sf_dir, "paper"))
 
 
+def p5_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.names import author_entities
+
+    return author_entities(table(spark, sf_dir, "paper"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperloom.llm.spans import shared_spans
 
@@ -94,7 +100,7 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_papers, p3_found, p3_texts, p4_found, p5_found, p6_found, p6_share, p7_ids, p8_found, p9_found, p9_scores, p9_rates)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_papers, p3_found, p3_texts, p4_found, p5_found, p5_entities, p6_found, p6_share, p7_ids, p8_found, p9_found, p9_scores, p9_rates)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -140,15 +140,38 @@ def test_edit_distance_and_neighbours(spark):
     for a in keys:
         assert names.within(a, a) and all(names.within(a, b) == names.within(b, a) for b in keys)
     assert names.within("johnson", "jonhson") and not names.within("johnson", "jhonsen")
-    expected = {(a, b) for a in keys for b in keys if a != b and names.within(a, b) and min(len(a), len(b)) >= 5}
-    got = {tuple(r) for r in names.neighbours(spark.createDataFrame([(k,) for k in keys], "key string")).collect()}
-    assert got == expected
+    pairs = {(a, b) for a in keys for b in keys if a != b and names.within(a, b)}
+    rows = spark.createDataFrame([(p, k) for p in "xy" for k in keys[: 10 if p == "x" else 3]], "place string, key string")
+    expected = {(p, a, b) for a, b in pairs for p in "xy" if p == "x" or {a, b} <= set(keys[:3])}
+    assert {tuple(r) for r in names.neighbours(rows).collect()} == expected
+    assert {tuple(r) for r in names.neighbours(rows, 5).collect()} == {r for r in expected if min(len(r[1]), len(r[2])) >= 5}
+
+
+def test_chains_of_slips_end_at_one_spelling(spark):
+    rows = spark.createDataFrame([("p", "mogilev", 1.0), ("p", "mogilef", 2.0), ("p", "mogilfe", 5.0), ("p", "mogilfee", 9.0), ("p", "other", 1.0), ("q", "mogilev", 1.0)], "place string, key string, weight double")
+    got = {(r.place, r.key): r.meant for r in names.canonical(rows, 1.0).collect()}
+    assert got == {("p", "mogilev"): "mogilfee", ("p", "mogilef"): "mogilfee", ("p", "mogilfe"): "mogilfee"}
+
+
+def test_short_names_and_initials(spark):
+    spellings = ["Anna Kim", "Kim, Anna", "ANNA KIM", "Dr. Anna Kim", "Anna Kmi", "Oliver Kin", "Anna Lee", "Samuel R. Belfort", "Belfort SR", "Samuel Belfort", "Margaret A. von Hagen", "von Hagen MA"]
+    rows = spark.createDataFrame([(1, spellings)], "paper_idx long, authors array<string>")
+    groups = {}
+    for r in names.author_entities(rows).collect():
+        groups.setdefault(r.entity, set()).add(r.name)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, [spellings[:5], ["Oliver Kin"], ["Anna Lee"], spellings[7:10], spellings[10:]]))
+
+
+def test_suffixes_tell_persons_apart_only_where_there_are_two(spark):
+    rows = spark.createDataFrame([(1, ["Karl B. Odenwald", "Karl Odenwald Jr.", "Ruth Odenwald Jr.", "Ruth Odenwald Sr.", "Ruth Odenwald"])], "paper_idx long, authors array<string>")
+    assert {tuple(r) for r in names.name_variants(rows).collect()} == {("Karl B. Odenwald", "Karl Odenwald Jr.")}
 
 
 def test_name_variants(spark):
     one = ["Elizabeth H. de la Dokhoit", "Liz de la Dokhoit", "DE LA DOKHOIT, Elizabeth H.", "E. H. de la Dokhoit", "de la Dokhoit EH", "elizabeth h. de la dokhoit", "Prof. E. H. de la Dökhoit, PhD", "Elizabeth H. de la Dokhiot"]
     two = ["Dentum Consortium for Granular Media", "Consortium for Granular Media Dentum", "Dentum Consort. f. Gran. Media", "The Dentum Consortium for Granular  Media Group", "Dentum CGM"]
-    other = ["Elizabeth H. de la Dokhoit Jr.", "Susanna de la Dokhoit", "et al.", "", " ", "Anonymous", None]
+    one.append("Elizabeth H. de la Dokhoit Jr.")
+    other = ["Susanna de la Dokhoit", "et al.", "", " ", "Anonymous", None]
     rows = spark.createDataFrame([(1, one, "x"), (2, two, "x"), (3, other, "x"), (4, None, "x"), (5, [], "x")], "paper_idx long, authors array<string>, name_a string")
     got = {tuple(r) for r in names.name_variants(rows).collect()}
     assert got == {(a, b) for group in (one, two) for a in group for b in group if a < b}
