@@ -2,8 +2,10 @@
 
 Method: ordered break and no-break rules, each a pair of regular expressions for the text before
 and after a position, the first match deciding; the rules stand in tables that cascade (quotation
-table, language table, table of the script, common table). Candidate positions are the ends of
-stop-mark clusters with their closing marks; for scripts that separate sentences by a space, the spaces.
+table, language table, table of the script, common table). The language of a text in Latin letters
+is that of most of its function words; where none or two have them the tables of all cascade.
+Candidate positions are the ends of stop-mark clusters with their closing marks; for scripts that
+separate sentences by a space, the spaces.
 """
 
 from __future__ import annotations
@@ -19,28 +21,54 @@ from pyspark.sql import functions as F
 STOPS = ".!?…。！？।॥؟"
 CLOSERS = "\"'”’»›)\\]）】」』“"
 OPENERS = "\"'“‘„«‹(\\[（【「『¿¡"
-QUOTE_LIMIT = 2_000  # a longer pair of marks is taken for unbalanced marks
 
-# Abbreviations by language. "never" may not end a sentence (a name, number or word
-# follows); "inside" ends one only before a capital letter.
+# Abbreviations by language. "never" ones don't end a sentence; "numbered" ones don't
+# before a number; "titles" don't before a name; "inside" ones end a sentence only before a capital letter.
 NEVER = {
-    "en": "Dr Prof Mr Mrs Ms St Rev Gen Col Capt Lt Sgt Fig Figs Sec Secs Eq Eqs Eqn Ref Refs Ch Vol Tab e.g i.e cf vs viz approx ca resp fig figs sec eq pp p No Nos no al",
-    "de": "Dr Prof Hr Fr Abb Tab Nr Bd Kap S vgl bzw ca z.B z d.h d u zB dh sog ggf evtl gem inkl bspw u.a u.U St",
-    "fr": "M MM Mme Mlle Dr Pr Me fig éd env p pp chap vol art n no cf av apr St Ste ex",
-    "es": "Sr Sra Srta Dr Dra Prof Profa núm pág págs fig cap vol art p pp ej Ud Uds Lic Ing D Dña aprox cf",
-    "pt": "Sr Sra Dr Dra Prof Profa núm pág págs fig cap vol art p pp ex cf aprox Eng",
-    "ru": "проф акад рис табл см стр с гл им ул доц тов т ст п напр ср ок",
-    "hi": "डॉ सं श्री प्रो पृ क्र श्रीमती",
+    "en": "Dr Prof Mr Mrs Ms St Rev Gen Col Capt Lt Sgt Fig Figs Secs Eq Eqs Eqn Refs Vol Tab e.g i.e cf vs viz approx resp fig figs eq Nos",
+    "de": "Dr Prof Hr Abb Tab Nr Bd Kap vgl bzw z.B zB dh sog ggf evtl gem inkl bspw u.a u.U St",
+    "fr": "MM Mme Mlle Dr Pr fig éd env chap vol cf St Ste",
+    "es": "Sr Sra Srta Dr Dra Prof Profa núm pág págs fig vol ej Lic Ing Dña aprox cf",
+    "pt": "Sr Sra Dr Dra Prof Profa núm pág págs fig vol cf aprox Eng",
+    "ru": "проф акад рис табл см стр гл ул доц тов напр ср",
+    "hi": "डॉ श्री प्रो श्रीमती",
     "th": "ดร ศ รศ ผศ นพ พ.ศ ค.ศ",
 }
+NUMBERED = {
+    "en": "Sec sec Ch Ref pp p No no ca c",
+    "de": "S ca Nr",
+    "fr": "p pp art n no ex av apr",
+    "es": "cap art p pp",
+    "pt": "cap art p pp ex n",
+    "ru": "с т ст п ок",
+    "hi": "सं पृ क्र",
+}
+TITLES = {"fr": "M Me", "es": "D", "de": "Fr", "ru": "им"}
 INSIDE = {
-    "en": "etc Jr Sr Inc Ltd Co Corp a.m p.m U.S U.K",
+    "en": "etc Jr Sr Inc Ltd Co Corp a.m p.m U.S U.K al",
     "de": "usw ff f etc Jh u.ä",
     "fr": "etc",
-    "es": "etc",
+    "es": "etc Ud Uds",
     "pt": "etc",
     "ru": "др д е г гг ед руб тыс млн млрд пр",
 }
+# Function words that tell a language written in Latin letters from the others.
+FUNCTION_WORDS = {
+    "en": "the of and is was were with that this are from which have has by be not it they she he what",
+    "de": "der und ist nicht ein eine mit von im auf dem den des zu sich wird wurde auch wir oder bei nach",
+    "fr": "le les du est dans une pour avec sur pas qui aux ce cette nous ont été sont il elle",
+    "es": "el los las del y una con pero más está fue su lo son ha muy desde hasta después dijo este",
+    "pt": "o os do em um não ao pelo foi é à uma são com na nas nos depois mas já também seu sua",
+}
+# Words that open a sentence and are no names, so that a capital letter and a stop before them end one.
+OPENING_WORDS = {
+    "en": "The In We It This That Then These Those A An As At By For From If On Our They There To When While With He She His Her But And However Each All Both After Before Next Its Their",
+    "de": "Der Die Das Den Dem Ein Eine In Im Es Wir Er Sie Dann Danach Nach Bei Für Mit Auf Zu Am Und Als Aber Auch Diese Dieser Dieses Jede Wenn Während",
+    "fr": "Le La Les Un Une Des Du Ce Cette Ces Il Elle Ils Elles On Nous Dans En Pour Par Sur Mais Puis Ensuite Ainsi Après Depuis Chaque Avec Si",
+    "es": "El La Los Las Un Una En Se Es Este Esta Estos Estas Después Luego Pero Con Por Para Si Cada Así Entonces",
+    "pt": "O A Os As Um Uma Em No Na Nos Nas Depois Mas Com Por Para Se Este Esta Cada Assim Então",
+    "ru": "В На И Он Она Они Это Эти Затем После Мы Для При Но Как Если Когда По С К Все Каждый",
+}
 # Month names that follow a German ordinal.
 MONTHS_DE = "Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember"
 # Thai words and beginnings that go on with a sentence after a space.
@@ -59,10 +87,23 @@ def never(language: str) -> tuple[bool, str, str]:
     return False, rf"(?<![\p{{L}}\p{{M}}])(?:{words(NEVER[language])})\.", r"\s*\S"
 
 
+def numbered(language: str) -> tuple[bool, str, str]:
+    return False, rf"(?<![\p{{L}}\p{{M}}])(?:{words(NUMBERED[language])})\.", r"\s*(?:\p{N}|(?:[IVX]{2,}|[VX])(?![\p{L}\p{M}]))"
+
+
+def titles(language: str) -> tuple[bool, str, str]:
+    return False, rf"(?<![\p{{L}}\p{{M}}])(?:{words(TITLES[language])})\.", rf"(?!\s+(?:{words(OPENING_WORDS[language])})(?![\p{{L}}\p{{M}}.]))\s*\p{{Lu}}"
+
+
 def inside(language: str) -> tuple[bool, str, str]:
     return False, rf"(?<![\p{{L}}\p{{M}}])(?:{words(INSIDE[language])})\.", r"\s*[\p{Ll},;:\p{N}]"
 
 
+def initials(*languages: str) -> tuple[bool, str, str]:
+    opening = words(" ".join(OPENING_WORDS[k] for k in languages))
+    return False, r"(?<![\p{L}\p{M}])\p{Lu}\.", rf"(?!\s+(?:{opening})(?![\p{{L}}\p{{M}}.]))[\s-]*\p{{Lu}}"
+
+
 # Each rule: (break here?, what stands before the position, what stands after it).
 TABLES: dict[str, list[tuple[bool, str, str]]] = {
     "quotation": [
@@ -75,16 +116,16 @@ TABLES: dict[str, list[tuple[bool, str, str]]] = {
     ],
     "en": [
         never("en"),
-        (False, r"(?<![\p{L}])et al\.", r"\s*[^\s\p{Lu}]"),
+        numbered("en"),
         inside("en"),
         (False, r"(?<![\p{L}\.])(?:[A-Z]\.){2,}", r"\s*(?:\p{Ll}|\p{Lu}\p{Ll}+\.)"),
     ],
-    "de": [never("de"), inside("de"), (False, r"(?<!\p{N})\p{N}{1,2}\.", rf"\s+(?:{words(MONTHS_DE)})\b"), (False, r"(?:z|u|d|o|i)\. ?(?:B|U|a|ä|h)\.", r"\s*\S")],
-    "fr": [never("fr"), inside("fr")],
-    "es": [never("es"), inside("es")],
-    "pt": [never("pt"), inside("pt")],
-    "ru": [never("ru"), inside("ru"), (False, r"(?<!\p{L})т\. ?[еокнп]\.", r"\s*\S")],
-    "hi": [never("hi"), (True, "[।॥]", "")],
+    "de": [never("de"), numbered("de"), titles("de"), inside("de"), (False, r"(?<!\p{N})\p{N}{1,2}\.", rf"\s+(?:{words(MONTHS_DE)})\b"), (False, r"(?<!\p{L})[zudoi]\.", r"\s?(?:B|U|a|ä|h)\."), (False, r"(?:z|u|d|o|i)\. ?(?:B|U|a|ä|h)\.", r"\s*\S")],
+    "fr": [never("fr"), numbered("fr"), titles("fr"), inside("fr")],
+    "es": [never("es"), numbered("es"), titles("es"), inside("es")],
+    "pt": [never("pt"), numbered("pt"), inside("pt")],
+    "ru": [never("ru"), numbered("ru"), titles("ru"), inside("ru"), (False, r"(?<!\p{L})т\. ?[еокнп]\.", r"\s*\S"), (False, r"(?<!\p{L})т\.", r"\s?[еокнп]\."), initials("ru")],
+    "hi": [never("hi"), numbered("hi"), (True, "[।॥]", "")],
     "th": [
         never("th"),
         (True, r"[\p{Thai}ๆฯ!?.…]", rf"\s+(?!{words(GOES_ON_TH)})[\p{{Thai}}{OPENERS}]"),
@@ -93,7 +134,7 @@ TABLES: dict[str, list[tuple[bool, str, str]]] = {
     "zh": [(True, rf"[。！？][{CLOSERS}]*", ""), (True, rf"(?:…|\.{{6}})[{CLOSERS}]*", "")],
     "ja": [(True, rf"[。！？][{CLOSERS}]*", ""), (True, rf"…[{CLOSERS}]*", "")],
     "latin": [
-        (False, r"(?<![\p{L}\p{M}])\p{Lu}\.", r"[\s-]*\p{Lu}"),  # initials
+        (False, r"(?<![\p{L}])et al\.", r"\s*[^\s\p{Lu}]"),
         (False, r"(?<=\p{N})\.", r"\p{N}"),
         (False, rf"(?:\.\.\.|…)[{CLOSERS}]*", r"\s*\p{Ll}"),
     ],
@@ -107,15 +148,18 @@ TABLES: dict[str, list[tuple[bool, str, str]]] = {
         (True, "", r"\s+\S"),
     ],
 }
-# Which tables cascade, by what the text before the position is written in.
+# Which tables cascade, by what the text before the position is written in; "latin" serves texts of no or several languages.
 CASCADES = {
-    "latin": ["quotation", "en", "de", "fr", "es", "pt", "latin", "common"],
-    "ru": ["quotation", "ru", "latin", "common"],
-    "hi": ["quotation", "hi", "en", "common"],
+    **{k: ["quotation", k, f"initials of {k}", "latin", "common"] for k in FUNCTION_WORDS},
+    "latin": ["quotation", *FUNCTION_WORDS, "initials of all", "latin", "common"],
+    "ru": ["quotation", "ru", "initials of all", "latin", "common"],
+    "hi": ["quotation", "hi", "en", "latin", "common"],
     "th": ["quotation", "th", "common"],
-    "zh": ["quotation", "zh", "en", "common"],
-    "ja": ["quotation", "ja", "en", "common"],
+    "zh": ["quotation", "zh", "en", "latin", "common"],
+    "ja": ["quotation", "ja", "en", "latin", "common"],
 }
+TABLES |= {f"initials of {k}": [initials(k)] for k in FUNCTION_WORDS} | {"initials of all": [initials(*FUNCTION_WORDS)]}
+VOTES = {w: k for k, text in FUNCTION_WORDS.items() for w in text.split()}
 PAIRS = ["„“", "“”", "‘’", '""', "«»", "‹›", "「」", "『』", "()", "（）", "[]", "【】"]
 
 
@@ -128,7 +172,9 @@ def cascade(name: str) -> regex.Pattern:
 
 @cache
 def scanner() -> dict[str, regex.Pattern]:
-    spans = "|".join(f"{regex.escape(a)}[^{regex.escape(a)}{regex.escape(b) if a != b else ''}]{{1,{QUOTE_LIMIT}}}{regex.escape(b)}" for a, b in PAIRS)
+    # a pair of marks doesn't reach over a blank line
+    inner = lambda a, b: rf"(?:[^\n{regex.escape(a)}{regex.escape(b) if a != b else ''}]|\n(?!\s*\n))+"
+    spans = "|".join(f"{regex.escape(a)}{inner(a, b)}{regex.escape(b)}" for a, b in PAIRS)
     return {
         "spans": regex.compile(spans),
         "stops": regex.compile(rf"[{STOPS}]+(?:\s?[»])?[{CLOSERS}]*"),
@@ -139,15 +185,25 @@ def scanner() -> dict[str, regex.Pattern]:
     }
 
 
-def script_before(text: str, at: int, known: dict[str, regex.Pattern]) -> str:
-    """The script of the last letter before a position."""
-    for i in range(at - 1, max(-1, at - 200), -1):
+def latin_language(text: str) -> str:
+    """The language of most function words, of a text in Latin letters; "latin" where none has them or a second one half as many."""
+    votes: dict[str, int] = {}
+    for w in text.lower().split():
+        if w in VOTES:
+            votes[VOTES[w]] = votes.get(VOTES[w], 0) + 1
+    best = sorted(votes, key=lambda k: -votes[k])[:2]
+    return "latin" if not best or len(best) > 1 and 2 * votes[best[1]] >= votes[best[0]] else best[0]
+
+
+def script_between(text: str, begin: int, end: int, known: dict[str, regex.Pattern]) -> str | None:
+    """The script of the last letter in a stretch; None without letters."""
+    for i in range(end - 1, begin - 1, -1):
         c = text[i]
-        if c.isalpha() or c > "̀" and known["script"].match(c):
-            if c < "Ͱ":
+        if c.isalpha() or c > "\u0300" and known["script"].match(c):
+            if c < "\u0370":
                 return "latin"
             return next((k for k in SCRIPTS if known[k].match(c)), "latin")
-    return "latin"
+    return None
 
 
 def boundaries(text: str) -> list[int]:
@@ -155,7 +211,7 @@ def boundaries(text: str) -> list[int]:
     known = scanner()
     ends: set[int] = set()
     spans = [m.span() for m in known["spans"].finditer(text)]
-    at = 0
+    at, latin, script, seen = 0, None, "latin", 0
     thai = known["thai"].search(text) is not None
     candidates = [(m.start(), m.end()) for m in known["stops"].finditer(text)]
     if thai:
@@ -172,7 +228,10 @@ def boundaries(text: str) -> list[int]:
             end -= 1  # an opening mark right after the stop
         if end >= len(text):
             continue
-        found = cascade(script_before(text, begin, known)).match(text, end)
+        script, seen = script_between(text, seen, begin, known) or script, begin
+        if script == "latin":
+            latin = latin or latin_language(text)
+        found = cascade(latin if script == "latin" else script).match(text, end)
         if found and found.lastgroup[0] == "b":
             ends.add(end)
     return sorted(ends)

@@ -300,3 +300,28 @@ def test_hot_passage_is_in_every_paper(spark, monkeypatch):
     rows = spark.createDataFrame([(i, text, f"{i} " * 90) for i in range(1_500)], "paper_idx long, introduction string, methods string")
     got = spans.shared_spans(rows).groupBy("section_name", "start_pos", "end_pos").count().collect()
     assert {tuple(r) for r in got if r.section_name == "introduction"} == {("introduction", 0, 260, 1_500)}
+
+
+@pytest.mark.parametrize(
+    "parts",
+    [
+        ["She waited and he said no.", "Then they left the room."],
+        ["Ella dijo que no.", "Después salió de la sala."],
+        ["It was the state of the art.", "Then we went on."],
+        ["Para a variável n.", "Depois foi medida."],
+        ["It grew by 5 p.", "Then it fell to No. 5 of p. 12 in Sec. IV.", "It ends."],
+        ["Il a choisi l'option M.", "Le reste est dans le sac de M. Dupont.", "Il part."],
+        ["They gave vitamin D.", "The next day J. A. Brook and B. Reed saw it."],
+        ["Siehe z. B. Abb. 3 und vgl. S. 7 ff. im Anhang.", "Der Rest folgt auf S. 9."],
+        ["Она дала книгу им.", "Затем они пошли на ул. им. Ленина."],
+    ],
+)
+def test_abbreviations_that_are_words(parts):
+    assert cut(" ".join(parts)) == parts
+
+
+def test_long_quotations_and_far_letters():
+    quotation = "“" + "It went on. " * 400 + "It ended.”"
+    assert cut(quotation + " Then it stopped.") == [quotation, "Then it stopped."]
+    digits = "1 " * 400
+    assert cut("Это было так. " + digits + "и т. д. в ряду. Конец.") == ["Это было так.", digits + "и т. д. в ряду.", "Конец."]
