@@ -3,17 +3,21 @@
 Method: one interpolated Kneser-Ney character model per language. The models share sorted hash
 arrays, one an order: the hashes of all n-grams of that order, and for each the log probability
 under every language; a second array holds the back-off weights of the contexts. A sentence gets
-the language of the lowest length-normalised cross-entropy, or none where that is above what
-held-out text of the language reaches, or too near the second language.
-
-The models are trained on a bounded sample of labelled papers (``sample`` papers a language, those
-of least hash); sentences whose own language, by a first model, isn't the label's are left out of
-the final one, so wrong labels and mixed papers do little harm. Short seed texts stand in for
-languages that the sample lacks.
+the language of the lowest length-normalised cross-entropy, or none where that lies several times as
+far above the mean of held-out sentences as nearly all of those do (a quantile of their deviations,
+which shrink with the length of a sentence; a language with few of them takes the median of all), or
+too near the second language.
+
+The models are trained on a bounded sample: of each language the ``sample`` labelled papers of least
+hash, and of a paper its sentences of least hash up to ``SAMPLE_CHARS`` characters. Sentences whose
+own language, by a first model, isn't the label's are left out of the final one, so wrong labels and
+mixed papers do little harm. Short seed texts of function words stand in for languages that the
+sample lacks. All texts are labelled, whole.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
@@ -30,27 +34,30 @@ from paperloom.llm.sentences import sentence_spans
 ORDER = 5
 DISCOUNT = 0.75
 SAMPLE = 300  # papers a language
-SAMPLE_CHARS = 4_000  # of each sampled paper's training text
+SAMPLE_CHARS = 4_000  # of the sentences of a sampled paper
 LEAST_LETTERS = 12  # a sentence with fewer is not decided
 LEAST_TOKENS = 10  # a last sentence without its stop has at least so many
 MARGIN = 0.08  # nats a character between the best two languages
-SLACK = 8.0  # deviations of held-out cross-entropy within which a language is accepted
+QUANTILE = 0.999  # of the held-out sentences are accepted,
+SLACK = 3.0  # and those up to so many times as far from the mean, for text on other matters than the sample
+UNHELD = 1.2
+FEW = 200  # held-out sentences under which the pooled quantile decides
 CACHE_WORDS = 300_000
 
 # ISO 639 codes and English names of the languages.
 LABELS = {"en": "eng english", "zh": "zho chi chinese", "de": "deu ger german", "fr": "fra fre french", "es": "spa spanish", "pt": "por portuguese", "ru": "rus russian", "ja": "jpn japanese", "hi": "hin hindi", "th": "tha thai"}
-# Seed texts, function words in use.
+# Seed texts, the most frequent function words (characters) of each language.
 SEEDS = {
-    "en": "the of and to in that is was for it with as his on be at by had are but from or have an they which one you were all her she there would their we him been has when who will no more if out so said what up its about than into them can only other time new some could these two may first then do any like my now over such our man me even most made after also did many before must through years where much your way well down should because each just those people how too little state good very make world still see own men work long here get both between life being under never day same another know while last might us great old year off come since against go came right used take three",
-    "de": "der die das und in zu den ist von mit nicht ein eine für auf dem sich des im auch als an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über so zum war haben nur oder aber vor zur bis mehr durch man sein wurde kann gegen vom können schon wenn habe seine ihre dann unter wir soll ich eines zwei jahr diese dieser wieder keine seiner worden will zwischen immer was sagte während der messung an allen standorten ohne weitere anpassung",
+    "en": "the of and to in that is was for it with as his on be at by had are but from or have an they which one you were all her she there would their we him been has when who will no more if out so said what up its about than into them can only other some could these two may first then do any like my now over such our me even most made after also did many before must through where much your well down should because each just those how too very still here get both between being under never same another know while last might us old off come since against go came take three",
+    "de": "der die das und in zu den ist von mit nicht ein eine für auf dem sich des im auch als an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über so zum war haben nur oder aber vor zur bis mehr durch man sein wurde kann gegen vom können schon wenn habe seine ihre dann unter wir soll ich eines zwei diese dieser wieder keine seiner worden will zwischen immer was sagte während der an ohne",
     "fr": "le la les de des du et en un une que est pour qui dans a par plus pas au sur ne se ce il sont avec son ses mais comme ou si leur y dont aux cette ces été être fait deux même aussi bien sans peut tous après nous je vous elle ils tout entre encore autre où très depuis sous ainsi avant chaque lors pendant jusqu'à près dès selon trois chez moins toute alors autres contre",
-    "es": "el la los las de del y en un una que es por con no se su para al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy años hasta desde está mi porque qué sólo han yo hay vez puede todos así nos ni parte tiene él uno donde bien tiempo mismo ese ahora cada vida otro después te otros aunque esa hace otra gobierno tan durante siempre según cerca bajo",
-    "pt": "o a os as de do da dos das e em um uma que é por com não se seu para ao mais ou mas como foi na no nas nos sua à são ter há pelo pela até isso ela entre era depois sem mesmo aos seus quem já também só eu esse você num essa nem quando muito nós está ele sobre foram ainda pode tem cada durante segundo perto além disso sob após nesta outro outra outros ajustes estação série",
-    "ru": "и в не на я быть он с что а по это она этот к но они мы весь который из у то за свой ты так от вы же для мочь о один её как бы его год при до или если ещё уже вот раз два только более после над без под где время человек первый сам когда другой через между во их можно есть был была были было этого всех чтобы очень даже ли там здесь потом сейчас три тонкая во время",
+    "es": "el la los las de del y en un una que es por con no se su para al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son también fue había era muy hasta desde está mi porque qué sólo han yo hay puede todos así nos ni tiene él uno donde bien mismo ese ahora cada otro después te otros aunque esa hace otra tan durante siempre según cerca bajo",
+    "pt": "o a os as de do da dos das e em um uma que é por com não se seu para ao mais ou mas como foi na no nas nos sua à são ter há pelo pela até isso ela entre era depois sem mesmo aos seus quem já também só eu esse você num essa nem quando muito nós está ele sobre foram ainda pode tem cada durante perto além disso sob após nesta outro outra outros",
+    "ru": "и в не на я быть он с что а по это она этот к но они мы весь который из у то за свой ты так от вы же для мочь о один её как бы его при до или если ещё уже вот два только более после над без под где первый сам когда другой через между во их можно есть был была были было этого всех чтобы очень даже ли там здесь потом сейчас три во",
     "zh": "的一是不了在人有我他这个们中来上大为和国地到以说时要就出会可也你对生能而子那得于着下自之年过发后作里用道行所然家种事成方多经么去法学如都同现当没动面起看定天分还进好小部其些主样理心她本前开但因只从想实日军者意无力它与长把机十民第公此已工使情明性知全三又关点正业外将两高间由问很最重并物手应战向头文体政美相见被利什二等产或新己制身果加西斯月话合回特代内信表化老给世位次度门任常先海通教儿原东声提立及比员解水名真论处走义各入几口认条平系气题活尔更别打女变四神总何电数安少报才结反受目太量再感建务做接必场件计管期市直德资命山金指克许统区保至队形社便空决治展马科司五基眼书非则听白却界达光放强即像难且权思王象完设式色路记南品住告类求据程北边死张该交规万取拉格望觉术领共确传师观清今切院让识候带导争运",
     "ja": "の に は を た が で て と し れ さ ある いる も する から な こと として い や れる など なっ ない この ため その あっ よう また もの という あり まで られ なる へ か だ これ によって により おり より による ず なり られる において ば なかっ なく しかし について せ だっ その後 できる それ う ので なお のみ でき き つ における および いう さらに でも ら たり その他 に関する たち ます ん なら に対して 特に せる 及び これら とき では にて ほか ながら うち そして とともに ただし かつて それぞれ または お ほど ものの に対する ほとんど と共に といった です とも ところ ここ",
-    "hi": "के का की में है और से को पर यह था कि एक ने हैं भी इस नहीं कर हो जो लिए तो ही या गया थे थी साथ अपने कुछ बाद तक वह उस रहा किया जा वे सकता दिया हुआ करने अब बहुत होता हुए समय जब कोई सभी बारे तथा किसी द्वारा इसके उनके दो पहले कहा जाता वाले लेकिन जैसे आप मैं हम उन्होंने अधिक होने यदि अनुसार बीच सबसे दूसरे चारों स्थिर भीतर ऊपर पास बिना",
-    "th": "ที่ และ ใน การ ของ เป็น ได้ มี ไม่ ว่า ให้ จะ มา กับ ไป จาก โดย นี้ ซึ่ง แต่ หรือ คน อยู่ แล้ว ความ ก็ ด้วย นั้น เมื่อ ต้อง ถึง เพื่อ ต่าง ทำ ขึ้น เขา ตาม กัน เรา ออก หนึ่ง ยัง เข้า อื่น มาก ทาง ทุก ใช้ ปี จึง ระหว่าง สามารถ วัน ผู้ เพราะ ลง ใหม่ ภายใน ใกล้ ตัวอย่าง เหนือ ในช่วง ตามแนว ภายใต้ ทั้งหมด",
+    "hi": "के का की में है और से को पर यह था कि एक ने हैं भी इस नहीं कर हो जो लिए तो ही या गया थे थी साथ अपने कुछ बाद तक वह उस रहा किया जा वे सकता दिया हुआ करने अब बहुत होता हुए जब कोई सभी बारे तथा किसी द्वारा इसके उनके दो पहले कहा जाता वाले लेकिन जैसे आप मैं हम उन्होंने अधिक होने यदि अनुसार बीच सबसे दूसरे ऊपर पास बिना",
+    "th": "ที่ และ ใน การ ของ เป็น ได้ มี ไม่ ว่า ให้ จะ มา กับ ไป จาก โดย นี้ ซึ่ง แต่ หรือ อยู่ แล้ว ความ ก็ ด้วย นั้น เมื่อ ต้อง ถึง เพื่อ ต่าง ทำ ขึ้น เขา ตาม กัน เรา ออก หนึ่ง ยัง เข้า อื่น มาก ทาง ทุก ใช้ จึง ระหว่าง สามารถ ผู้ เพราะ ลง ใหม่ ภายใน ใกล้ เหนือ ในช่วง ตามแนว ภายใต้ ทั้งหมด",
 }
 LANGUAGES = tuple(SEEDS)
 
@@ -125,7 +132,8 @@ class LanguageModels:
             at = np.argsort(h)
             self.contexts[order], self.backoff[order] = h[at], weights[at]
         self.cache: dict[str, np.ndarray] = {}
-        self.mean, self.deviation = np.zeros(count), np.full(count, np.inf)
+        self.mean, self.far = np.zeros(count), np.full(count, np.inf)
+        self.letters = np.array([self.letter_entropy(words[k]) for k in self.languages])
 
     def unseen(self, gram: str, probability: dict, weight: dict, k: int) -> float:
         total = 0.0
@@ -137,6 +145,16 @@ class LanguageModels:
             gram = gram[1:]
         return total + float(self.floor[k]) if hasattr(self, "floor") else total - 10.0
 
+    @staticmethod
+    def letter_entropy(words: Counter) -> float:
+        """Nats a letter of the single letters (and word ends)."""
+        n: Counter = Counter()
+        for word, times in words.items():
+            for c in word + "\x03":
+                n[c] += times
+        p = np.array(list(n.values()), np.float64) / max(1, sum(n.values()))
+        return float(-(p * np.log(p)).sum())
+
     @staticmethod
     def fitted(words: Counter) -> tuple[dict[int, dict[str, float]], dict[int, dict[str, float]]]:
         """Interpolated probabilities of the seen n-grams and back-off weights of their contexts, by order."""
@@ -202,10 +220,24 @@ class LanguageModels:
         return -sums / np.maximum(letters, 1)[:, None], letters
 
     def calibrate(self, held: dict[str, list[list[str]]]) -> None:
+        """The mean cross-entropy of each language's held-out sentences and how far above it one may lie.
+
+        A sentence of n letters deviates by about 1 / sqrt(n), so deviations are taken times sqrt(n).
+        A language without held-out sentences may lie as high as ``UNHELD`` times the entropy of its single letters.
+        """
+        per: dict[int, np.ndarray] = {}
         for k, name in enumerate(self.languages):
-            if len(held.get(name, ())) >= 20:
-                e = self.entropies(held[name])[0][:, k]
-                self.mean[k], self.deviation[k] = float(np.mean(e)), float(np.std(e)) + 0.02
+            if held.get(name):
+                e, letters = self.entropies(held[name])
+                self.mean[k] = float(np.average(e[:, k], weights=np.maximum(letters, 1)))
+                per[k] = (e[:, k] - self.mean[k]) * np.sqrt(letters)
+        if not per:
+            return
+        own = {k: max(float(np.quantile(z, QUANTILE)), 1e-6) for k, z in per.items()}
+        for k in range(len(self.languages)):
+            if k not in per:
+                self.mean[k] = UNHELD * self.letters[k]
+            self.far[k] = SLACK * (own[k] if k in per and len(per[k]) >= FEW else float(np.median(list(own.values()))))
 
     def decide(self, sentences: list[list[str]]) -> list[tuple[str | None, float]]:
         """Language and confidence of each sentence; None for one that is rejected."""
@@ -215,7 +247,7 @@ class LanguageModels:
         order = np.argsort(e, axis=1)
         rows = np.arange(len(e))
         best, first, second = order[:, 0], e[rows, order[:, 0]], e[rows, order[:, 1]]
-        ok = (letters >= LEAST_LETTERS) & (second - first >= MARGIN) & (first <= self.mean[best] + SLACK * self.deviation[best])
+        ok = (letters >= LEAST_LETTERS) & (second - first >= MARGIN) & ((first - self.mean[best]) * np.sqrt(letters) <= self.far[best])
         odds = np.exp(-np.clip((e - first[:, None]) * np.minimum(letters, 60)[:, None], 0, 700)).sum(1)
         return [(self.languages[b], float(1 / o)) if good else (None, 0.0) for b, o, good in zip(best, odds, ok)]
 
@@ -227,9 +259,22 @@ def sample_texts(papers: DataFrame, sample: int = SAMPLE) -> list[tuple[str, str
     code = F.element_at(F.create_map(*(F.lit(x) for pair in known.items() for x in pair)), label)
     ids = papers.select("paper_idx", code.alias("code")).where("code IS NOT NULL AND paper_idx IS NOT NULL").withColumn("h", F.xxhash64("paper_idx"))
     chosen = ids.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("h", "paper_idx"))).where(F.col("n") <= sample).select("paper_idx", "code")
-    text = F.left(F.concat_ws("\n\n", "introduction", "conclusion", "abstract", "results"), F.lit(SAMPLE_CHARS))
+    text = F.concat_ws("\n\n", "introduction", "conclusion", "abstract", "results")
     rows = papers.select("paper_idx", text.alias("text")).join(F.broadcast(chosen.distinct()), "paper_idx").select("code", "text")
-    return [(r.code, r.text) for r in rows.toLocalIterator()]
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in batch.column(1).to_pylist():
+                size, kept = 0, []
+                for s in sorted((text[a:b] for a, b in sentence_spans(text)), key=lambda s: (zlib.crc32(s.encode("utf-8", "surrogatepass")), s)):
+                    if size + len(s) <= SAMPLE_CHARS:
+                        kept.append(s)
+                        size += len(s)
+                out.append("\n".join(kept))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["code", "text"])
+
+    return [(r.code, r.text) for r in rows.mapInArrow(some, "code string, text string").toLocalIterator()]
 
 
 def trained(samples: list[tuple[str, str]]) -> LanguageModels:
@@ -286,11 +331,12 @@ def block_sentences(text: str, title: str | None = None) -> Iterator[tuple[int,
                 yield number, a, b, words
 
 
-def language_segments(papers: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def language_segments(papers: DataFrame, sample: int = SAMPLE, undecided: bool = False) -> DataFrame:
     """(paper_idx, label, block_no, start_pos, end_pos, lang, confidence): a row for each stretch of whole sentences in one language.
 
     ``label`` is the two-letter code that the paper's own label names, or NULL. Rejected sentences
-    belong to the stretch around them. NULL and empty texts have none; rows delivered twice come twice.
+    belong to the stretch around them, or with ``undecided`` are stretches of their own, of NULL
+    language and confidence 0. NULL and empty texts have none; rows delivered twice come twice.
     """
     models = papers.sparkSession.sparkContext.broadcast(trained(sample_texts(papers, sample)))
 
@@ -307,7 +353,7 @@ def language_segments(papers: DataFrame, sample: int = SAMPLE) -> DataFrame:
                         where.append((paper, code, number, a, b))
                 out: tuple[list, ...] = ([], [], [], [], [], [], [])
                 for (paper, code, number, a, b), (lang, confidence) in zip(where, model.decide(found)):
-                    if lang is None:
+                    if lang is None and not undecided:
                         continue
                     if out[0] and (out[0][-1], out[2][-1], out[5][-1]) == (paper, number, lang):
                         out[4][-1], out[6][-1] = b, max(out[6][-1], confidence)
@@ -321,6 +367,11 @@ def language_segments(papers: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return rows.mapInArrow(run, "paper_idx long, label string, block_no long, start_pos long, end_pos long, lang string, confidence double")
 
 
+def language_stretches(papers: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(paper_idx, block_no, start_pos, end_pos, lang, confidence): every stretch of whole sentences once, undecided ones with NULL."""
+    return language_segments(papers, sample, True).select("paper_idx", "block_no", "start_pos", "end_pos", "lang", F.round("confidence", 4).alias("confidence")).distinct()
+
+
 def mislabelled_blocks(papers: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(paper_idx, block_no, lang): languages of whole sentences of a block that the paper's label doesn't name."""
     return language_segments(papers, sample).where("label IS NULL OR lang <> label").select("paper_idx", "block_no", "lang").distinct()

@@ -27,6 +27,12 @@ def p2_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paper_languages(table(spark, sf_dir, "paper"))
 
 
+def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.languages import language_stretches
+
+    return language_stretches(table(spark, sf_dir, "paper"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperloom.llm.scans import scan_repairs
 
@@ -100,7 +106,7 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_papers, p3_found, p3_texts, p4_found, p5_found, p5_entities, p6_found, p6_share, p7_ids, p8_found, p9_found, p9_scores, p9_rates)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_papers, p2_segments, p3_found, p3_texts, p4_found, p5_found, p5_entities, p6_found, p6_share, p7_ids, p8_found, p9_found, p9_scores, p9_rates)}
 
 
 def oracle_sql() -> dict[str, str]:

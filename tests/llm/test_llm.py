@@ -325,3 +325,29 @@ def test_long_quotations_and_far_letters():
     assert cut(quotation + " Then it stopped.") == [quotation, "Then it stopped."]
     digits = "1 " * 400
     assert cut("Это было так. " + digits + "и т. д. в ряду. Конец.") == ["Это было так.", digits + "и т. д. в ряду.", "Конец."]
+
+
+def test_an_eleventh_language_is_rejected(spark):
+    """Trained on the smallest tables' papers; sentences of languages without a model stay undecided, held-out ones of the ten are decided."""
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("needs the driver's tables")
+    papers = spark.read.parquet("/root/testdata/sf0.01/paper.parquet")
+    samples = languages.sample_texts(papers)
+    assert max(len(t) for _, t in samples) <= languages.SAMPLE_CHARS * 1.1
+    model = languages.trained(samples)
+    others = ["Il vento soffiava forte sulla collina mentre i ragazzi giocavano nel cortile della scuola.", "De oude man liep langzaam door de straat en keek naar de huizen.", "Stary człowiek szedł powoli ulicą i patrzył na domy.", "Yaşlı adam sokakta yavaşça yürüdü ve evlere baktı.", "Den gamle mannen gick långsamt genom gatan och såg på husen.", "Старий чоловік повільно йшов вулицею і дивився на будинки."]
+    assert [lang for lang, _ in model.decide([languages.tokens(t) for t in others])] == [None] * len(others)
+    rows = papers.where("language IN ('en', 'de', 'fr', 'ru', 'zh')").select("language", "discussion").where("length(discussion) > 200").collect()
+    units = [(r.language, languages.tokens(r.discussion[a:b])) for r in rows for a, b in sentences.sentence_spans(r.discussion)]
+    units = [(k, u) for k, u in units if sum(map(len, u)) > 40]
+    found = model.decide([u for _, u in units])
+    assert len(units) > 100 and sum(lang is None for lang, _ in found) < 0.02 * len(units)
+
+
+def test_undecided_stretches(spark):
+    good = "The porous membrane limits the flow near the bank. Each sample was kept in the cold room. "
+    text = "A title\n\n" + good * 2 + "Qxz wvk jjq zzkw xqv bnm plk. " + good
+    rows = spark.createDataFrame([(i, "en", "A title", text if i == 1 else good * 3, good * 20, None, None, None) for i in range(1, 12)] + [(20, None, None, None, None, None, None, None)], "paper_idx long, language string, title string, full_text string, introduction string, conclusion string, abstract string, results string")
+    got = languages.language_stretches(rows).where("paper_idx = 1").orderBy("start_pos").collect()
+    assert [r.lang for r in got] == ["en", None, "en"] and got[1].confidence == 0 and got[0].confidence > 0.9
+    assert languages.language_stretches(rows).where("paper_idx = 20").count() == 0
