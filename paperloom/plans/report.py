@@ -65,6 +65,13 @@ def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted(found).withColumnRenamed("item", "metric")
 
 
+def as_json(clusters: DataFrame, items: DataFrame, key: str = "cluster") -> DataFrame:
+    """(key, json): every cluster with its members as one JSON document."""
+    own = items.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*(c for c in items.columns if c != key)))).alias("items"))
+    joined = clusters.join(own, key, "left")
+    return joined.select(key, F.to_json(F.struct(*joined.columns)).alias("json"))
+
+
 def first_rows(relation: DataFrame, *order, most: int = MOST) -> list:
     return relation.orderBy(*order).limit(most).collect()
 
