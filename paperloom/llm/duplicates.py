@@ -11,19 +11,23 @@ bits stay in the budget with probability above 0.9999. Texts of equal shingle se
 and enter the join once; candidate pairs of classes are verified exactly on the texts.
 
 A band key shared by more classes than ``hot_rows`` doesn't gather in one task: its rows leave the
-first pass unjoined and are joined block by block, each pair of blocks a task of its own.
+first pass unjoined and are joined block by block, each pair of blocks a task of its own. So are the
+members of a class of more than ``hot_rows`` papers where the result wants them in pairs;
+``near_duplicate_groups`` gives every paper its class and group instead, without any pair of copies.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.grams import mixed, rolling, without_space
+from paperloom.operators.clusters import components
 from paperloom.session import durable
 
 SHINGLE = 8
@@ -31,7 +35,7 @@ THRESHOLD = 0.6
 BANDS, ROWS = 48, 4
 BITS = BANDS * ROWS
 SMALL = 400  # sets under this size also get a signature of independent permutations
-HOT_ROWS = 20_000
+HOT_ROWS = 4_000
 DEVIATIONS = 4.3  # of the number of differing bits at the threshold
 
 ODD = mixed(np.arange(1, BITS + 1, dtype=np.uint64), 7) | np.uint64(1)
@@ -238,19 +242,16 @@ def hot_join(rows: DataFrame, most: int, hot_rows: int) -> DataFrame:
     return cells.repartition("key").sortWithinPartitions("key", "bits").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(papers: DataFrame, fields: tuple[str, ...] = ("full_text", "abstract"), threshold: float = THRESHOLD, id_column: str = "paper_idx", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(paper_a, paper_b, field_name): pairs of different ids whose texts have a Jaccard similarity of at least ``threshold``.
+def class_links(texts: DataFrame, fields: tuple[str, ...], threshold: float, hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(k, id), every text with its class, and (a, b), the verified pairs of different classes. texts: id and the fields.
 
-    Texts without shingles (NULL, empty, blank, shorter than eight characters) and NULL ids match
-    nothing; rows delivered twice count once; other columns are not read.
+    A class is one set of shingles in one field; its number k is its least id times the number of
+    fields, plus the field.
     """
-    texts = papers.where(papers[id_column].isNotNull()).select(papers[id_column].cast("long").alias("id"), *(papers[f].cast("string").alias(f) for f in fields))
     known = durable(sketches(texts, fields))
     members = known.where("space = 0").select("field", "class", "id").distinct()
     entered = known.groupBy("field", "class", "space").agg(F.min_by(F.struct("id", "bits", "keys"), "id").alias("r"))
-    most = budget(threshold)
-    # the id of a class within a field: twice the paper's number plus the field keeps (a, b) two plain numbers
-    n = len(fields)
+    most, n = budget(threshold), len(fields)
     bands = entered.select((F.col("r.id") * n + F.col("field")).alias("id"), F.col("r.bits").alias("bits"), F.explode("r.keys").alias("key"))
     first = durable(band_join(bands.repartition("key").sortWithinPartitions("key", "bits"), most, hot_rows))
     pairs = first.where("a IS NOT NULL").select("a", "b")
@@ -261,15 +262,24 @@ def near_duplicates(papers: DataFrame, fields: tuple[str, ...] = ("full_text", "
 
     # exact verification: only texts that are in a candidate pair are fetched
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    names = F.array(*(F.lit(f) for f in fields))
     long = texts.select((F.col("id") * n).alias("base"), F.posexplode(F.array(*fields)).alias("field", "text")).where("text IS NOT NULL").select((F.col("base") + F.col("field")).alias("k"), "text")
     kept = long.join(wanted, "k", "left_semi").dropDuplicates(["k"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: OrderedDict[int, np.ndarray] = OrderedDict()  # the sets of the last texts: rows come in the order of b
+
+        def shingles(key: int, text: str) -> np.ndarray:
+            if key not in held:
+                held[key] = shingle_set(text)
+                if len(held) > 64:
+                    held.popitem(last=False)
+            held.move_to_end(key)
+            return held[key]
+
         for batch in batches:
             good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = shingle_set(x), shingle_set(y)
+            for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                x, y = shingles(a, x), shingles(b, y)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(both >= threshold * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -277,11 +287,52 @@ def near_duplicates(papers: DataFrame, fields: tuple[str, ...] = ("full_text", "
     with_a = pairs.join(kept.select(F.col("k").alias("a"), F.col("text").alias("text_a")), "a")
     both = with_a.join(kept.select(F.col("k").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
     links = both.mapInArrow(verify, "a long, b long")
-
-    # from classes to papers
     owners = members.groupBy("field", "class").agg(F.min("id").alias("rep"))
     owned = durable(members.join(owners, ["field", "class"]).select((F.col("rep") * n + F.col("field")).alias("k"), "id"))
-    same = owned.select("k", F.col("id").alias("x")).join(owned.select("k", F.col("id").alias("y")), "k").where("x < y").select("k", "x", "y")
+    return owned, links
+
+
+def prepared(papers: DataFrame, fields: tuple[str, ...], id_column: str) -> DataFrame:
+    return papers.where(papers[id_column].isNotNull()).select(papers[id_column].cast("long").alias("id"), *(papers[f].cast("string").alias(f) for f in fields))
+
+
+def field_of(k: str, fields: tuple[str, ...]) -> Column:
+    return F.element_at(F.array(*(F.lit(f) for f in fields)), (F.pmod(k, F.lit(len(fields))) + 1).cast("int"))
+
+
+def within_classes(owned: DataFrame, hot_rows: int) -> DataFrame:
+    """(k, x, y): the pairs x < y of the members of a class; a class of more than ``hot_rows`` is dealt to several tasks."""
+    large = owned.groupBy("k").count().where(F.col("count") > hot_rows).select("k", F.ceil(F.col("count") / hot_rows).cast("int").alias("salts"))
+    salted = owned.join(large, "k", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    left = salted.select("k", F.col("id").alias("x"), F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"))
+    right = salted.select("k", F.col("id").alias("y"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return left.join(right, ["k", "salt"]).where("x < y").select("k", "x", "y")
+
+
+def near_duplicates(papers: DataFrame, fields: tuple[str, ...] = ("full_text", "abstract"), threshold: float = THRESHOLD, id_column: str = "paper_idx", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(paper_a, paper_b, field_name): pairs of different ids whose texts have a Jaccard similarity of at least ``threshold``.
+
+    Texts without shingles (NULL, empty, blank, shorter than eight characters) and NULL ids match
+    nothing; rows delivered twice count once; other columns are not read.
+    """
+    owned, links = class_links(prepared(papers, fields, id_column), fields, threshold, hot_rows)
     across = links.join(owned.select(F.col("k").alias("a"), F.col("id").alias("x")), "a").join(owned.select(F.col("k").alias("b"), F.col("id").alias("y")), "b").where("x <> y").select(F.col("a").alias("k"), "x", "y")
-    found = same.union(across)
-    return found.select(F.least("x", "y").alias("paper_a"), F.greatest("x", "y").alias("paper_b"), F.element_at(names, (F.pmod("k", F.lit(n)) + 1).cast("int")).alias("field_name")).distinct()
+    found = within_classes(owned, hot_rows).union(across)
+    return found.select(F.least("x", "y").alias("paper_a"), F.greatest("x", "y").alias("paper_b"), field_of("k", fields).alias("field_name")).distinct()
+
+
+def near_duplicate_groups(papers: DataFrame, fields: tuple[str, ...] = ("full_text", "abstract"), threshold: float = THRESHOLD, id_column: str = "paper_idx", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(paper_idx, field_name, class_id, group_id, links): one row for each paper and field with shingles.
+
+    ``class_id`` is the least paper of those with the same set of shingles, ``group_id`` the least of
+    all that a chain of similar texts reaches, ``links`` the number of other classes similar to this
+    one. The cases of missing texts and ids are those of ``near_duplicates``.
+    """
+    owned, links = class_links(prepared(papers, fields, id_column), fields, threshold, hot_rows)
+    n = len(fields)
+    links = durable(links)
+    groups = components(links.select(F.col("a").alias("idx_a"), F.col("b").alias("idx_b"))).select(F.col("idx").alias("k"), "component")
+    degree = links.select(F.explode(F.array("a", "b")).alias("k")).groupBy("k").agg(F.count("*").alias("links"))
+    rows = owned.join(groups, "k", "left").join(degree, "k", "left")
+    number = lambda c: F.floor(F.col(c) / n).cast("long")
+    return rows.select(F.col("id").alias("paper_idx"), field_of("k", fields).alias("field_name"), number("k").alias("class_id"), F.coalesce(number("component"), number("k")).alias("group_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))

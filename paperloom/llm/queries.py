@@ -51,6 +51,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "paper"))
 
 
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.duplicates import near_duplicate_groups
+
+    return near_duplicate_groups(table(spark, sf_dir, "paper"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperloom.llm.names import name_variants
 
@@ -106,7 +112,7 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_papers, p2_segments, p3_found, p3_texts, p4_found, p5_found, p5_entities, p6_found, p6_share, p7_ids, p8_found, p9_found, p9_scores, p9_rates)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_papers, p2_segments, p3_found, p3_texts, p4_found, p4_groups, p5_found, p5_entities, p6_found, p6_share, p7_ids, p8_found, p9_found, p9_scores, p9_rates)}
 
 
 def oracle_sql() -> dict[str, str]:

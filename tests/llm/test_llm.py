@@ -117,7 +117,30 @@ def test_near_duplicates(spark, hot):
     assert sorted(got) == sorted((a, b, "full_text") for a, b in expected) and len(expected) > 8
 
 
+def test_near_duplicate_groups(spark):
+    texts = variants()
+    rows = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)] + [(0, texts[0], None), (None, texts[0], None)], "paper_idx long, full_text string, abstract string")
+    pairs = {(r.paper_a, r.paper_b) for r in duplicates.near_duplicates(rows).collect()}
+    got = {r.paper_idx: r for r in duplicates.near_duplicate_groups(rows).collect()}
+    assert set(got) == {i for i, t in enumerate(texts) if len(duplicates.shingle_set(t))}
+    leader = {i: i for i in got}
+    for _ in got:  # the least member of each component, by plain spreading
+        for a, b in pairs:
+            leader[a] = leader[b] = min(leader[a], leader[b])
+    assert {i: r.group_id for i, r in got.items()} == leader
+    same = {i: min(j for j in got if np.array_equal(duplicates.shingle_set(texts[i]), duplicates.shingle_set(texts[j]))) for i in got}
+    assert {i: r.class_id for i, r in got.items()} == same
+    assert all(r.links == len({same[j] for j in got if (min(i, j), max(i, j)) in pairs and same[j] != same[i]}) for i, r in got.items())
+
+
+def test_large_classes_are_dealt_to_tasks(spark):
+    owned = spark.createDataFrame([(7, i) for i in range(40)] + [(9, 50), (9, 51), (11, 60)], "k long, id long")
+    got = sorted((r.x, r.y) for r in duplicates.within_classes(owned, 6).collect())
+    assert got == [(i, j) for i in range(40) for j in range(i + 1, 40)] + [(50, 51)]
+
+
 def test_near_duplicates_empty(spark):
+    assert duplicates.near_duplicate_groups(spark.createDataFrame([], "paper_idx long, full_text string, abstract string")).count() == 0
     assert duplicates.near_duplicates(spark.createDataFrame([], "paper_idx long, full_text string, abstract string")).count() == 0
 
 
@@ -234,13 +257,68 @@ def test_language_tables(spark):
 
 
 # scans
-def test_scan_repair():
+@pytest.fixture(scope="module")
+def layout(spark):
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("needs the driver's tables")
+    return scans.fitted_layout(spark.read.parquet("/root/testdata/sf0.01/paper.parquet"))
+
+
+def test_scan_repair(layout):
     words = scans.Words({w: 50 for w in "the porous membrane limits flow near bank of each long term sample consecutive visits and well known harbour reading narrows between two under under pressure before".split()} | {"long-term": 30, "well-known": 30})
     text = "Title line of paper\nA. Author\n\nthe porous mernbrane limits flow between two consec-\nutive visits and the well-\n12\nProceedings of Harbour Research\nknown harbour narrows under pressure before the\nlong-term reading of each s@mple near the bank and\n13\nProceedings of Harbour Research\nthe flow.\n\nTable 1: words\n15 66.2 912\n23"
-    found, fixed = scans.repaired(text, words, scans.Page(text))
+    labels = layout.labelled(text.split("\n"), scans.Page(text))
+    found, fixed = scans.repaired(text, words, labels)
     assert {(k, p) for _, k, p in found} == {("hyphen", "consecutive"), ("hyphen", "well-known"), ("char", "membrane"), ("char", "sample"), ("pageno", "12"), ("pageno", "13"), ("header", "Proceedings of Harbour Research")}
     assert "two consecutive visits and the well-known harbour narrows" in fixed and "Proceedings" not in fixed
-    assert scans.repaired("", words, scans.Page("")) == ([], "") and scans.Page(None).repeated == []
+    assert scans.repaired("", words, layout.labelled([""], scans.Page(""))) == ([], "") and scans.Page(None).repeated == []
+
+
+def test_paragraphs_go_on_over_a_page(layout):
+    """Blank lines around a page number are a gap where the sentence goes on, and a break where it ended."""
+    words = scans.Words({w: 9 for w in "values the wide basin was read out twice a day and flow held at same rate in each run continues here with next one begins ends".split()})
+    line = "the wide basin was read out twice a day and the flow was held at the same rate in each run"
+    text = f"A title\n\n{line}\n{line} with the values\n\n12\n\ncontinues here {line}\n{line}.\n\n13\n\nThe next one begins {line}\n{line}\n\n14\n\nand ends here."
+    labels = layout.labelled(text.split("\n"), scans.Page(text))
+    found, fixed = scans.repaired(text, words, labels)
+    assert [p for _, k, p in found if k == "pageno"] == ["12", "13", "14"]
+    parts = fixed.split("\n\n")
+    assert len(parts) == 3 and "with the values continues here" in parts[1] and parts[2].startswith("The next one begins") and parts[2].endswith("and ends here.")
+
+
+def test_headings_keep_their_words(layout):
+    words = scans.Words({w: 9 for w in "dusk condition conduct title the text".split()})
+    text = "A title\n\n6. Conclusion\nthe text."
+    assert not [r for r in scans.repaired(text, words, scans.plain_labels(text.split("\n")))[0]]
+
+
+def test_every_line_is_decoded_and_states_fit_lines(layout):
+    for text in EDGE + ["1\n2\n3\n\n4", "\n\n\n", "Page 1\n" * 50, "word " * 4000]:
+        lines = text.split("\n")
+        labels = layout.labelled(lines, scans.Page(text))
+        assert len(labels) == len(lines) and all((s in ("break", "gap")) == (not x.strip()) for s, x in zip(labels, lines))
+
+
+def test_words_beyond_the_table_are_looked_up(spark):
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("needs the driver's tables")
+    papers = spark.read.parquet("/root/testdata/sf0.01/paper.parquet")
+    known = lambda rows: {tuple(r) for r in rows.where("kind = 'hyphen'").collect()}
+    whole, small = known(scans.scan_repairs(papers)), known(scans.scan_repairs(papers, vocabulary=400))
+    assert len(whole) > 100 and len(whole ^ small) <= 0.02 * len(whole)
+    # names, known in neither way, are judged by a character model of the table's words
+    words = {r.word for r in scans.word_counts(papers).collect()}
+    chars = lambda rows: {tuple(r) for r in rows.where("kind = 'char'").collect() if r.piece.lower() in words}
+    whole, small = chars(scans.scan_repairs(papers)), chars(scans.scan_repairs(papers, vocabulary=400))
+    assert len(whole) > 100 and whole == small
+
+
+def test_softmax_fit_finds_the_frequencies():
+    x = np.array([[1.0, 0.0], [1.0, 0.0], [1.0, 1.0], [1.0, 1.0]])
+    w = scans.softmax_fit(np.array([0, 1, 0, 1]), x, np.array([9_000.0, 1_000.0, 2_000.0, 8_000.0]), 2)
+    z = np.array([[1.0, 0.0], [1.0, 1.0]]) @ w.T
+    p = np.exp(z) / np.exp(z).sum(1)[:, None]
+    assert np.allclose(p[:, 0], [0.9, 0.2], atol=0.01)
 
 
 def test_scan_table(spark):
