@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -25,12 +26,17 @@ PRE_TOKEN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 CACHE_ENTRIES = 200_000  # pre-tokens kept per Python worker; a full cache is emptied, results stay the same
 
 
+def vocabulary_bytes(path: str) -> bytes:
+    with open(path, "rb") as file:
+        return file.read()
+
+
 class PrefixEncoder:
     """Ids of byte strings under a rank-ordered vocabulary."""
 
-    def __init__(self, path: str):
-        with open(path, "rb") as file:
-            pairs = [line.split() for line in file if line.strip()]
+    def __init__(self, vocabulary: str | bytes):
+        """vocabulary: the file's path or its content, lines of a base64 token and its rank."""
+        pairs = [line.split() for line in (vocabulary if isinstance(vocabulary, bytes) else vocabulary_bytes(vocabulary)).splitlines() if line.strip()]
         self.ranks = {base64.b64decode(a): int(b) for a, b in pairs}
         self.tokens = {b: a for a, b in self.ranks.items()}
         # lengths of the tokens that end in a byte pair (or are a single byte): the only ones to try
@@ -134,16 +140,23 @@ class PrefixTable:
         return self.encoder.trace(self.last, self.sizes)
 
 
+@lru_cache(maxsize=4)
+def shared_encoder(vocabulary: bytes) -> PrefixEncoder:
+    """One encoder a Python worker: its tables and caches serve all tasks."""
+    return PrefixEncoder(vocabulary)
+
+
 def encode_documents(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", directory: str = VOCABULARY_DIR, vocabulary: str = VOCABULARY) -> DataFrame:
     """(id, ids ARRAY<INT>): one row per input row, without special tokens.
 
     NULL and empty texts get an empty list, repeated rows stay, other columns are not read. A
-    narrow map without shuffle: Python sees Arrow batches of two columns.
+    narrow map without shuffle: Python sees Arrow batches of two columns. The driver reads the
+    vocabulary (under a megabyte) and sends it along, so the machines need no copy of it.
     """
-    path = os.path.join(directory, vocabulary)
+    shared = documents.sparkSession.sparkContext.broadcast(vocabulary_bytes(os.path.join(directory, vocabulary)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PrefixEncoder(path)
+        encoder = shared_encoder(shared.value)
         for batch in batches:
             texts = batch.column(1)
             for at in range(0, batch.num_rows, 500):

@@ -10,6 +10,7 @@ separate sentences by a space, the spaces.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -160,6 +161,7 @@ CASCADES = {
 }
 TABLES |= {f"initials of {k}": [initials(k)] for k in FUNCTION_WORDS} | {"initials of all": [initials(*FUNCTION_WORDS)]}
 VOTES = {w: k for k, text in FUNCTION_WORDS.items() for w in text.split()}
+ABBREVIATIONS = {w.lower() for table in (NEVER, NUMBERED, TITLES, INSIDE) for text in table.values() for w in text.split()}
 PAIRS = ["„“", "“”", "‘’", '""', "«»", "‹›", "「」", "『』", "()", "（）", "[]", "【】"]
 
 
@@ -177,6 +179,7 @@ def scanner() -> dict[str, regex.Pattern]:
     spans = "|".join(f"{regex.escape(a)}{inner(a, b)}{regex.escape(b)}" for a, b in PAIRS)
     return {
         "spans": regex.compile(spans),
+        "openers": re.compile("[" + re.escape("".join(a for a, _ in PAIRS)) + "]"),
         "stops": regex.compile(rf"[{STOPS}]+(?:\s?[»])?[{CLOSERS}]*"),
         "spaces": regex.compile(r"(?<=[\p{Thai}ๆฯ!?.…”\"])\s+(?=\S)"),
         "thai": regex.compile(r"\p{Thai}"),
@@ -210,7 +213,7 @@ def boundaries(text: str) -> list[int]:
     """Positions after the last character of each sentence but the last, in order."""
     known = scanner()
     ends: set[int] = set()
-    spans = [m.span() for m in known["spans"].finditer(text)]
+    spans = [m.span() for m in known["spans"].finditer(text)] if known["openers"].search(text) else []
     at, latin, script, seen = 0, None, "latin", 0
     thai = known["thai"].search(text) is not None
     candidates = [(m.start(), m.end()) for m in known["stops"].finditer(text)]
@@ -228,6 +231,13 @@ def boundaries(text: str) -> list[int]:
             end -= 1  # an opening mark right after the stop
         if end >= len(text):
             continue
+        # the usual case, as the tables decide it: a small-letter word that is no abbreviation, a stop, a space, a capital
+        if text[begin:end] == "." and text[end] == " " and text[end + 1 : end + 2].isupper():
+            word = text[text.rfind(" ", 0, begin) + 1 : begin]
+            if len(word) > 3 and word.isascii() and word.isalpha() and word.islower() and word not in ABBREVIATIONS:
+                ends.add(end)
+                script, seen = "latin", begin
+                continue
         script, seen = script_between(text, seen, begin, known) or script, begin
         if script == "latin":
             latin = latin or latin_language(text)

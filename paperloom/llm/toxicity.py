@@ -26,6 +26,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -71,17 +72,23 @@ def patterns() -> dict[str, regex.Pattern]:
 # quick tests, so that a pattern runs only over a text that can hold it
 CYRILLIC = re.compile("[\u0400-\u052f\u1c80-\u1c8f\u2de0-\u2dff\ua640-\ua69f]")
 HAN_APART = re.compile("[\u2e80-\u3007\u3021-\u3029\u3038-\u303b\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff] [\u2e80-\u3007\u3021-\u3029\u3038-\u303b\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+SIGN = re.compile(r"[\d@$€|]")
+SET_APART = re.compile(r"([ .\-_*·])[^\W\d_]\1[^\W\d_](?![^\W_])")
 LETTER_BY_SIGN = re.compile(r"[^\W\d_]!*[\d@$€|]|[\d@$€|]!*[^\W\d_]")
 THRICE = re.compile(r"([^\W\d_])\1\1")
 ASCII_TOKEN = re.compile(r"[a-z]+\*{2,}[a-z]*|[a-z]+|[0-9]+")
 STARRED = re.compile(r"[^\W\d_]\*\*")
+# letters outside of Latin, Greek and Cyrillic, and marks: the others' words are runs of letters
+OTHER_SCRIPT = re.compile("[^\u0000-\u02ff\u0370-\u0482\u048a-\u052f\u1e00-\u1fff\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]")
+PLAIN_TOKEN = re.compile(r"[^\W\d_]+|\d+")
 
 
 def opened(text: str) -> str:
     """The text in its letter case, without invisible characters, with letters set apart joined."""
     p = patterns()
     text = (text if text.isascii() else INVISIBLE.sub("", text)).replace("\n", " ")
-    text = p["apart"].sub(lambda m: p["letters"].sub("", m[0]), text)
+    if SET_APART.search(text):
+        text = p["apart"].sub(lambda m: p["letters"].sub("", m[0]), text)
     return p["han_apart"].sub("", text) if not text.isascii() and HAN_APART.search(text) else text
 
 
@@ -96,8 +103,9 @@ def plain(text: str) -> str:
             text = p["mixed"].sub(lambda m: m[0].translate(LOOKALIKES), text)
             if p["latin"].search(text):
                 text = p["look"].sub(lambda m: t if (t := m[0].translate(LOOKALIKES)).isascii() and len(t) > 2 else m[0], text)
-    if LETTER_BY_SIGN.search(text):
-        text = p["signed"].sub(lambda m: (word := m[0].rstrip("!")).translate(SIGNS) + m[0][len(word) :], text)
+    if SIGN.search(text):
+        signed = lambda m: (word := m[0].rstrip("!")).translate(SIGNS) + m[0][len(word) :]
+        text = " ".join([w if w.isalpha() or not SIGN.search(w) or not LETTER_BY_SIGN.search(w) else p["signed"].sub(signed, w) for w in text.split(" ")])
     return p["long"].sub(r"\1", text) if THRICE.search(text) else text
 
 
@@ -112,6 +120,8 @@ def units(text: str | None) -> list[list[str]]:
         words: list[str] = []
         if line.isascii() and not STARRED.search(line):
             words = ["#" if w[0] <= "9" else w for w in ASCII_TOKEN.findall(line)]
+        elif not OTHER_SCRIPT.search(line) and not STARRED.search(line):
+            words = ["#" if w[0] <= "9" else w for w in PLAIN_TOKEN.findall(line)]
         else:
             for w in p["token"].findall(line):
                 if p["dense"].match(w):
@@ -141,14 +151,15 @@ def features(sentences: list[list[str]], masked: dict[tuple[str, str, int], list
     if masked:
         sentences = [[next(iter(masked.get((w[0], w[-1], len(w)), [])), w) if "*" in w else w for w in words] if any("*" in w for w in words) else words for words in sentences]
     sizes = np.fromiter((len(words) for words in sentences), np.int64, len(sentences))
-    h = np.fromiter((CODES[w] for words in sentences for w in words), np.int64, sizes.sum())
+    h = np.fromiter(map(CODES.__getitem__, chain.from_iterable(sentences)), np.int64, sizes.sum())
     owner = np.repeat(np.arange(len(sentences)), sizes)
     two = (h[:-1] * 1_000_003 + h[1:] * 7_919 + 13) & 0x7FFFFFFFFFFF
     three = (two[:-1] * 31 + h[2:] * 104_729 + 29) & 0x7FFFFFFFFFFF
     pairs, triples = owner[:-1] == owner[1:], owner[:-2] == owner[2:]
-    keys = [(o * DIMENSIONS) + (((v * 2_654_435_761 & 0x7FFFFFFFFFFF) >> 11) % DIMENSIONS) for o, v in ((owner, h), (owner[:-1][pairs], two[pairs]), (owner[:-2][triples], three[triples]))]
-    found = np.unique(np.concatenate(keys))
-    return found % DIMENSIONS, np.bincount(found // DIMENSIONS, minlength=len(sentences))
+    codes, owners = np.concatenate([h, two[pairs], three[triples]]), np.concatenate([owner, owner[:-1][pairs], owner[:-2][triples]])
+    keys = np.sort(owners * DIMENSIONS + (((codes * 2_654_435_761 & 0x7FFFFFFFFFFF) >> 11) & (DIMENSIONS - 1)))
+    found = keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
+    return found & (DIMENSIONS - 1), np.bincount(found // DIMENSIONS, minlength=len(sentences))
 
 
 def indices(words: list[str], masked: dict[tuple[str, str, int], list[str]] | None = None) -> np.ndarray:
