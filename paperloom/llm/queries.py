@@ -116,4 +116,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from paperloom.llm.oracle import ORACLE
+
+    return dict(ORACLE)
