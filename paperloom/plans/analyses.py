@@ -207,20 +207,23 @@ def background_overlap(spark: SparkSession, sf_dir: str, threshold: float = 0.72
     return found.orderBy(F.desc("similarity"), "idx_a", "idx_b").limit(top).select("paper_a", "pos_a", "paper_b", "pos_b", "similarity", "text_a", "text_b")
 
 
-def with_texts(pairs: DataFrame, items: DataFrame) -> DataFrame:
+def with_texts(pairs: DataFrame, items: DataFrame, *place: str) -> DataFrame:
     """The few pairs (bounded by their maker) with the papers, places and texts (300 characters) of both sides; the items stay where they are."""
-    pairs = durable(pairs)
+    pairs, place = durable(pairs), place or ("pos",)
     wanted = pairs.select(F.explode(F.array("idx_a", "idx_b")).alias("idx")).distinct()
-    own = durable(items.join(F.broadcast(wanted), "idx", "left_semi").select("idx", "paper_idx", "pos", F.left("text", F.lit(300)).alias("text")))
-    sides = [own.select(F.col("idx").alias(f"idx_{x}"), F.col("paper_idx").alias(f"paper_{x}"), F.col("pos").cast("long").alias(f"pos_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab"]
-    return pairs.join(sides[0], "idx_a").join(sides[1], "idx_b")
+    own = durable(items.join(F.broadcast(wanted), "idx", "left_semi").select("idx", "paper_idx", *(F.col(c).cast("long") if c == "pos" else F.col(c) for c in place), F.left("text", F.lit(300)).alias("text")))
+    side = lambda x: own.select(*(F.col(c).alias(f"{names.get(c, c)}_{x}") for c in own.columns))
+    names = {"paper_idx": "paper"}
+    return pairs.join(side("a"), "idx_a").join(side("b"), "idx_b")
 
 
-def similar_sentences(spark: SparkSession, sf_dir: str, section: str, threshold: float = 0.65, most: int = 500) -> DataFrame:
-    """(paper_a, pos_a, paper_b, pos_b, similarity, text_a, text_b): the first ``most`` alike pairs of sentences in reading order."""
-    items = section_items(spark, sf_dir, section, 20)
+def similar_sentences(spark: SparkSession, sf_dir: str, threshold: float = 0.65, most: int = 500) -> DataFrame:
+    """(paper_a, section_name_a, pos_a, the same of b, similarity, text_a, text_b): the first ``most`` alike pairs of sentences of all sections in reading order."""
+    rows = corpus.section_sentences(corpus.sections(corpus.papers(spark, sf_dir, *SECTIONS)), 20).withColumnRenamed("sentence", "text")
+    items = numbered(rows, "paper_idx", "section_ord", "pos")
     pairs = V.first_pairs(char_vectors(items.select("idx", "text"), 3, 6, 8000), threshold, most)
-    return with_texts(pairs, items).select("paper_a", "pos_a", "paper_b", "pos_b", F.round("similarity", 4).alias("similarity"), "text_a", "text_b")
+    found = with_texts(pairs, items, "section_name", "pos")
+    return found.select(*(f"{c}_{x}" for x in "ab" for c in ("paper", "section_name", "pos")), F.round("similarity", 4).alias("similarity"), "text_a", "text_b")
 
 
 def problem_members(spark: SparkSession, sf_dir: str, threshold: float = 0.72) -> DataFrame:

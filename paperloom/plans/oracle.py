@@ -113,10 +113,10 @@ def cosines(text: str, least: float) -> str:
     return f"{words}, cos AS (SELECT a.idx AS paper_a, b.idx AS paper_b, sum(a.w * b.w) AS c FROM vec a JOIN vec b USING (term) WHERE a.idx < b.idx GROUP BY 1, 2 HAVING sum(a.w * b.w) > {least})"
 
 
-def char_pairs(name: str, items: str, low: int, high: int, features: int, threshold: float, most: int) -> str:
+def char_pairs(name: str, items: str, low: int, high: int, features: int, threshold: float, most: int, more: str = "") -> str:
     """CTEs: ``name``_s (idx, paper_idx, pos, text) in reading order and ``name``_p, its first pairs (i, j, c)."""
     grams = " UNION ALL ".join(f"SELECT idx, unnest(list_transform(range(1, length(t) - {n} + 2), lambda i: substring(t, i, {n}))) AS term FROM {name}_t WHERE length(t) >= {n}" for n in range(low, high + 1))
-    return f"""{name}_s AS (SELECT row_number() OVER (ORDER BY paper_idx, pos) AS idx, paper_idx, pos::BIGINT AS pos, text FROM {items}),
+    return f"""{name}_s AS (SELECT row_number() OVER (ORDER BY paper_idx, {more.split(',')[0] + ', ' if more else ''}pos) AS idx, paper_idx, {more}pos::BIGINT AS pos, text FROM {items}),
  {name}_t AS (SELECT idx, regexp_replace(lower(text), '{SPACE}{SPACE}+', ' ', 'g') AS t FROM {name}_s),
  {name}_f AS (SELECT idx, term, count(*) AS tf FROM ({grams}) GROUP BY 1, 2),
  {name}_v AS (SELECT term, sum(tf) AS ctf, count(*) AS df FROM {name}_f GROUP BY term ORDER BY ctf DESC, term LIMIT {features}),
@@ -171,8 +171,8 @@ LABEL_5 = label(5, 40, "left(title, 60)")
 BLANKS = r"[\t\x{0b}\f\r \x{85}\p{Z}]"
 LETTER = r"[\p{L}\p{M}\p{N}_]"
 # no lambda inside the branches: the sentences of texts without a long paragraph in threes
-PARAGRAPHS = f"""blocks AS (SELECT paper_idx, list_filter(list_transform(string_split_regex(methods, '\\n{SPACE}*\\n'), lambda x: replace({strip('x')}, chr(10), ' ')), lambda x: length(x) >= 50) AS own, {sentence_list('methods', 20)} AS parts FROM p),
- paras AS (SELECT paper_idx, CASE WHEN len(own) > 0 THEN own ELSE list_filter(list_transform(range(0, len(parts), 3), lambda k: array_to_string(list_slice(parts, k + 1, k + 3), ' ')), lambda x: length(x) >= 50) END AS l FROM blocks)"""
+PARAGRAPHS = f"""blocks AS (SELECT paper_idx, section_name, list_filter(list_transform(string_split_regex(text, '\\n{SPACE}*\\n'), lambda x: replace({strip('x')}, chr(10), ' ')), lambda x: length(x) >= 50) AS own, {sentence_list('text', 20)} AS parts FROM sec),
+ paras AS (SELECT paper_idx, section_name, CASE WHEN len(own) > 0 THEN own ELSE list_filter(list_transform(range(0, len(parts), 3), lambda k: array_to_string(list_slice(parts, k + 1, k + 3), ' ')), lambda x: length(x) >= 50) END AS l FROM blocks)"""
 CLEAN = f"{strip('regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(full_text, ' + quoted(f'({LETTER})-' + chr(92) + f'n({LETTER})') + ', ' + quoted(chr(92) + '1' + chr(92) + '2') + ', ' + quoted('g') + '), ' + quoted(chr(92) + 'r' + chr(92) + 'n?') + ', chr(10), ' + quoted('g') + '), ' + quoted(chr(92) + 'n{3,}') + ', chr(10) || chr(10), ' + quoted('g') + '), ' + quoted(BLANKS + '+') + ', ' + quoted(' ') + ', ' + quoted('g') + '), ' + quoted(' {2,}') + ', ' + quoted(' ') + ', ' + quoted('g') + ')')}"
 BOUNDARIES = f"""one AS (SELECT paper_idx, line_no, min(text) AS text, max(font_size) AS font_size FROM ln GROUP BY 1, 2),
  sized AS (SELECT paper_idx, list_sort(list(DISTINCT coalesce(font_size, 10.0))) AS sizes FROM one GROUP BY 1),
@@ -209,8 +209,8 @@ ORACLE: dict[str, str] = {
     "short_label_5": with_(P) + "SELECT paper_idx, " + LABEL_5 + " AS label FROM p",
     "all_section_text": with_(P) + f"SELECT paper_idx, {ALL_SECTIONS} AS text FROM p",
     "batches_of_papers": with_(P) + "SELECT (paper_idx // 64)::BIGINT AS batch, count(*) AS n, min(paper_idx) AS first_idx FROM p GROUP BY 1",
-    "normalize_sentence": with_(P)
-    + f"SELECT paper_idx, pos::BIGINT AS pos, regexp_replace(regexp_replace({strip('lower(sentence)')}, '{SPACE}+', ' ', 'g'), '^[^\\p{{L}}\\p{{M}}\\p{{N}}_]+|[^\\p{{L}}\\p{{M}}\\p{{N}}_]+$', '', 'g') AS text FROM {exploded('(SELECT * FROM p WHERE length(abstract) > 0)', sentence_list('abstract', 10), 'paper_idx')}",
+    "normalize_sentence": with_(P, SEC)
+    + f"SELECT paper_idx, section_name, pos::BIGINT AS pos, regexp_replace(regexp_replace({strip('lower(sentence)')}, '{SPACE}+', ' ', 'g'), '^[^\\p{{L}}\\p{{M}}\\p{{N}}_]+|[^\\p{{L}}\\p{{M}}\\p{{N}}_]+$', '', 'g') AS text FROM {exploded('sec', sentence_list('text', 10), 'paper_idx, section_name')}",
     "heading_match": with_(LINES) + f"SELECT DISTINCT paper_idx, line_no::BIGINT AS line_no, {heading_case('text', 50)} AS section_name FROM ln WHERE {heading_case('text', 50)} IS NOT NULL",
     "no_heading_papers": with_(LINES) + f"SELECT paper_idx FROM ln GROUP BY paper_idx HAVING count({heading_case('text', 50)}) = 0",
     "missing_section_fill": fill_sql(),
@@ -239,25 +239,25 @@ ORACLE: dict[str, str] = {
     "figure_types": with_(P, FIGURES) + "SELECT figure_type, paper_count, total_figures FROM figure_counts",
     "char_tfidf_vocab": with_(
         P,
-        f"src AS (SELECT paper_idx AS idx, regexp_replace(lower({BLANK}), '{SPACE}{SPACE}+', ' ', 'g') AS t FROM (SELECT paper_idx, conclusion AS x FROM p))",
+        f"src AS (SELECT paper_idx AS idx, regexp_replace(lower({BLANK}), '{SPACE}{SPACE}+', ' ', 'g') AS t FROM (SELECT paper_idx, full_text AS x FROM p))",
         "g AS (" + " UNION ALL ".join(f"SELECT idx, unnest(list_transform(range(1, length(t) - {n} + 2), lambda i: substring(t, i, {n}))) AS term FROM src WHERE length(t) >= {n}" for n in (3, 4, 5, 6)) + ")",
     )
     + "SELECT term, sum(tf)::BIGINT AS ctf, count(*) AS df FROM (SELECT idx, term, count(*) AS tf FROM g GROUP BY 1, 2) GROUP BY term ORDER BY ctf DESC, term LIMIT 8000",
-    "word_tfidf": with_(P, word_cte(f"SELECT paper_idx AS idx, {BLANK} AS text FROM (SELECT paper_idx, abstract AS x FROM p)", True, 5000)) + "SELECT idx AS paper_idx, term, round(w, 6) AS w FROM vec",
+    "word_tfidf": with_(P, word_cte(f"SELECT paper_idx AS idx, {BLANK} AS text FROM (SELECT paper_idx, full_text AS x FROM p)", True, 5000)) + "SELECT idx AS paper_idx, term, round(w, 6) AS w FROM vec",
     "section_similarity": with_(P, cosines(METHOD_TEXT, 0)) + "SELECT paper_a, paper_b, round(c, 4) AS similarity FROM cos WHERE round(c, 4) > 0",
     "intro_similarity": with_(P, cosines(INTRO_TEXT, 0)) + "SELECT paper_a, paper_b, round(c, 4) AS similarity FROM cos WHERE round(c, 4) > 0",
     "intro_edges": with_(P, cosines(INTRO_TEXT, 0.55)) + "SELECT paper_a, paper_b, round(c, 3) AS weight FROM cos",
     "pair_groups": "WITH RECURSIVE " + ", ".join((P, cosines(INTRO_TEXT, 0.55), "pr AS (SELECT paper_a AS i, paper_b AS j FROM cos)", components_cte("comp", "pr"))) + " SELECT idx, component FROM comp",
     "text_similarity": with_(P, TWO_TEXTS) + "SELECT p.paper_idx, round(CASE WHEN na > 0 AND nb > 0 THEN dot / (na * nb) ELSE 0.0 END, 4) AS similarity FROM p LEFT JOIN dots ON dots.paper_idx = p.paper_idx",
-    "similar_pairs": with_(P, char_pairs("c", exploded("p", sentence_list("conclusion", 20), "paper_idx", "text"), 3, 6, 8000, 0.65, 500))
-    + "SELECT a.paper_idx AS paper_a, a.pos AS pos_a, b.paper_idx AS paper_b, b.pos AS pos_b, round(c, 4) AS similarity, left(a.text, 300) AS text_a, left(b.text, 300) AS text_b FROM c_p JOIN c_s a ON a.idx = i JOIN c_s b ON b.idx = j",
+    "similar_pairs": with_(P, SEC, char_pairs("c", exploded("sec", sentence_list("text", 20), "paper_idx, section_ord, section_name", "text"), 3, 6, 8000, 0.65, 500, "section_ord, section_name, "))
+    + "SELECT a.paper_idx AS paper_a, a.section_name AS section_name_a, a.pos AS pos_a, b.paper_idx AS paper_b, b.section_name AS section_name_b, b.pos AS pos_b, round(c, 4) AS similarity, left(a.text, 300) AS text_a, left(b.text, 300) AS text_b FROM c_p JOIN c_s a ON a.idx = i JOIN c_s b ON b.idx = j",
     "background_overlap": with_(P, char_pairs("c", exploded("p", sentence_list("introduction", 25), "paper_idx", "text"), 4, 7, 5000, 0.72, 200))
     + "SELECT a.paper_idx AS paper_a, a.pos AS pos_a, b.paper_idx AS paper_b, b.pos AS pos_b, round(c, 4) AS similarity, left(a.text, 300) AS text_a, left(b.text, 300) AS text_b FROM c_p JOIN c_s a ON a.idx = i JOIN c_s b ON b.idx = j WHERE a.paper_idx <> b.paper_idx ORDER BY round(c, 4) DESC, i, j LIMIT 50",
     "boilerplate_groups": boilerplate_sql(BOILERPLATE_SECTIONS),
     "boilerplate_by_section": boilerplate_sql(["methods"]),
     "boilerplate_items": "WITH RECURSIVE " + ", ".join((P, boilerplate_cte(BOILERPLATE_SECTIONS))) + " SELECT section_name, paper_idx, pos, left(text, 400) AS text FROM members",
     "boilerplate_summary": "WITH RECURSIVE " + ", ".join((P, boilerplate_cte(BOILERPLATE_SECTIONS))) + " SELECT count(DISTINCT (section_name, component)) AS total_groups, count(*) AS total_sentences FROM members",
-    "paragraphs": with_(P, PARAGRAPHS) + "SELECT paper_idx, unnest(range(len(l)))::BIGINT AS pos, unnest(l) AS text FROM paras",
+    "paragraphs": with_(P, SEC, PARAGRAPHS) + "SELECT paper_idx, section_name, unnest(range(len(l)))::BIGINT AS pos, unnest(l) AS text FROM paras",
     "clean_text": with_(P) + f"SELECT paper_idx, {CLEAN} AS text FROM p",
     "font_headings": with_(LINES, BOUNDARIES) + "SELECT paper_idx, line_no::BIGINT AS line_no, heading FROM bounds WHERE heading IS NOT NULL",
     "section_segments": with_(LINES, BOUNDARIES, SEGMENTS) + "SELECT paper_idx, section_name, max_by(text, part) AS text FROM segs GROUP BY 1, 2",

@@ -50,7 +50,8 @@ def sentences_short(s, d):
 
 @query
 def paragraphs(s, d):
-    return corpus.papers(s, d, "methods").select("paper_idx", F.posexplode(T.paragraphs(F.col("methods"))).alias("pos", "text")).select("paper_idx", long("pos"), "text")
+    rows = corpus.sections(corpus.papers(s, d, *SECTIONS))
+    return rows.select("paper_idx", "section_name", F.posexplode(T.paragraphs(F.col("text"))).alias("pos", "text")).select("paper_idx", "section_name", long("pos"), "text")
 
 
 @query
@@ -60,8 +61,8 @@ def clean_text(s, d):
 
 @query
 def normalize_sentence(s, d):
-    rows = corpus.section_sentences(corpus.sections(corpus.papers(s, d, "abstract"), ["abstract"]), 10)
-    return rows.select("paper_idx", long("pos"), T.normalize_sentence(F.col("sentence")).alias("text"))
+    rows = corpus.section_sentences(corpus.sections(corpus.papers(s, d, *SECTIONS)), 10)
+    return rows.select("paper_idx", "section_name", long("pos"), T.normalize_sentence(F.col("sentence")).alias("text"))
 
 
 @query
@@ -244,13 +245,13 @@ def figure_types(s, d):
 # vectors
 @query
 def char_tfidf_vocab(s, d):
-    texts = corpus.papers(s, d, "conclusion").select(F.col("paper_idx").alias("idx"), F.col("conclusion").alias("text"))
+    texts = corpus.papers(s, d, "full_text").select(F.col("paper_idx").alias("idx"), F.col("full_text").alias("text"))
     return V.vocabulary(texts, V.chars(3, 6), 8000)
 
 
 @query
 def word_tfidf(s, d):
-    texts = corpus.papers(s, d, "abstract").select(F.col("paper_idx").alias("idx"), F.col("abstract").alias("text"))
+    texts = corpus.papers(s, d, "full_text").select(F.col("paper_idx").alias("idx"), F.col("full_text").alias("text"))
     return V.tfidf(texts, V.words(), 5000).select(F.col("idx").alias("paper_idx"), "term", F.round("w", 6).alias("w"))
 
 
@@ -305,7 +306,7 @@ def term_labels(s, d):
 # analyses
 @query
 def similar_pairs(s, d):
-    return A.similar_sentences(s, d, "conclusion")
+    return A.similar_sentences(s, d)
 
 
 @query

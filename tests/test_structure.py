@@ -2,14 +2,17 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
+from paperloom import session
+from paperloom.operators import corpus
 from paperloom.operators import structure as S
 from paperloom.plans.report import html_report, markdown_report
 from paperloom.sources import arxiv
 from paperloom.sources.mapping import map_with_errors
 from paperloom.sources.pdf import read_pdfs
-from paperloom.streaming.incremental import stream_papers
+from paperloom.streaming.incremental import load_increment, stream_papers
 
 
 def lines(spark, paper, *texts):
@@ -75,3 +78,33 @@ def test_stream_keeps_first_source(spark, tmp_path):
     spark.createDataFrame([(4, "b"), (5, "c")], "paper_idx long, source string").coalesce(1).write.mode("append").parquet(source)
     stream_papers(spark, source, target, str(tmp_path / "c"), ["paper_idx"]).awaitTermination()
     assert sorted((r.source, r.paper_idx) for r in spark.read.parquet(target).collect()) == [("a", 1), ("b", 3), ("c", 5)]
+
+
+def test_a_replayed_batch_adds_nothing(spark, tmp_path):
+    target = str(tmp_path / "target")
+    first, second = (spark.createDataFrame(rows, "paper_idx long, source string") for rows in ([(1, "a"), (2, "b"), (3, "a")], [(4, "b"), (5, "c")]))
+    for batch, rows in ((0, first), (1, second), (1, second), (0, first)):
+        load_increment(rows, target, ["paper_idx"], batch).write.mode("overwrite").parquet(f"{target}/batch_id={batch}")
+    assert sorted((r.paper_idx, r.source) for r in spark.read.parquet(target).collect()) == [(1, "a"), (2, "b"), (5, "c")]
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Context:
+        master = "spark://somewhere:7077"
+        getConf = lambda self: {}
+
+        class _jsc:
+            sc = staticmethod(lambda: type("S", (), {"getCheckpointDir": lambda self: type("D", (), {"isEmpty": lambda self: True})()})())
+
+    frame = type("F", (), {"sparkSession": type("P", (), {"sparkContext": Context()})()})()
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.durable(frame)
+
+
+def test_rows_delivered_twice_by_files(spark, tmp_path):
+    rows = [(1, "x"), (2, "y"), (2, "y"), (None, "z"), (3, "w"), (2, "y")]
+    spark.createDataFrame(rows, "paper_idx long, title string").repartition(3).write.parquet(str(tmp_path / "t"))
+    frame = spark.read.parquet(str(tmp_path / "t"))
+    for held in (100, 0):  # by broadcast, and by key
+        assert sorted(map(tuple, corpus.once(frame, "paper_idx", held).collect())) == [(1, "x"), (2, "y"), (3, "w")]
+    assert corpus.once(frame.where("paper_idx = 9"), "paper_idx").count() == 0
