@@ -129,7 +129,7 @@ TABLES: dict[str, list[tuple[bool, str, str]]] = {
     "hi": [never("hi"), numbered("hi"), (True, "[।॥]", "")],
     "th": [
         never("th"),
-        (True, r"[\p{Thai}ๆฯ!?.…]", rf"\s+(?!{words(GOES_ON_TH)})[\p{{Thai}}{OPENERS}]"),
+        (True, rf"[\p{{Thai}}ๆฯ!?.…][{CLOSERS}]*", rf"\s+(?!{words(GOES_ON_TH)})[\p{{Thai}}{OPENERS}]"),
         (False, r"\S", r"\s"),
     ],
     "zh": [(True, rf"[。！？][{CLOSERS}]*", ""), (True, rf"(?:…|\.{{6}})[{CLOSERS}]*", "")],

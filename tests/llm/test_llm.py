@@ -429,3 +429,7 @@ def test_undecided_stretches(spark):
     got = languages.language_stretches(rows).where("paper_idx = 1").orderBy("start_pos").collect()
     assert [r.lang for r in got] == ["en", None, "en"] and got[1].confidence == 0 and got[0].confidence > 0.9
     assert languages.language_stretches(rows).where("paper_idx = 20").count() == 0
+
+
+def test_a_quoted_thai_sentence_ends_at_its_mark():
+    assert cut("“โครงตาข่ายแช่แข็งของแอ่งตื้น ใกล้ A-7485 ขยายความกว้าง” ตัวรับสัญญาณหมุน ใกล้ Kal-7 รักษาการจับคู่คำ") == ["“โครงตาข่ายแช่แข็งของแอ่งตื้น ใกล้ A-7485 ขยายความกว้าง”", "ตัวรับสัญญาณหมุน ใกล้ Kal-7 รักษาการจับคู่คำ"]
