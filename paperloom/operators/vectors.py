@@ -29,7 +29,7 @@ from paperloom.functions.dictionaries import ENGLISH_STOPS
 from paperloom.session import durable
 
 BLANK = "placeholder"
-BLOCK = 1024  # rows of a block of the block join
+BLOCKS = (512, 16_384)  # least and largest number of rows in a block of the block join
 FRONTS = (64, 512, 4096)  # rows of the fronts that look for the first pairs
 HOT_TERM = 20_000  # postings of a term beyond which its meetings are dealt to several tasks
 HELD_TERMS = 1_000_000  # different terms that a task counts before it hands them on
@@ -306,7 +306,9 @@ def prefix_products(rows: DataFrame, prefix: DataFrame, counts: DataFrame, thres
 
 
 def block_products(rows: DataFrame, threshold: float, above: bool) -> DataFrame:
-    blocks = max(1, -(-rows.count() // BLOCK))
+    # a row goes to every pair of blocks that its own is in, so blocks are as few as memory and cores allow
+    n, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-n // BLOCKS[1]), min(-(-n // BLOCKS[0]), int((6 * cores) ** 0.5)))
     block = F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int")
     cells = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     cells = cells.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
