@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.grams import mixed, rolling, without_space
+from paperloom.llm.pairs import HOT_ROWS, pairs_within
 from paperloom.operators.clusters import components
 from paperloom.session import durable
 
@@ -35,7 +36,6 @@ THRESHOLD = 0.6
 BANDS, ROWS = 48, 4
 BITS = BANDS * ROWS
 SMALL = 400  # sets under this size also get a signature of independent permutations
-HOT_ROWS = 4_000
 DEVIATIONS = 4.3  # of the number of differing bits at the threshold
 
 ODD = mixed(np.arange(1, BITS + 1, dtype=np.uint64), 7) | np.uint64(1)
@@ -300,15 +300,6 @@ def field_of(k: str, fields: tuple[str, ...]) -> Column:
     return F.element_at(F.array(*(F.lit(f) for f in fields)), (F.pmod(k, F.lit(len(fields))) + 1).cast("int"))
 
 
-def within_classes(owned: DataFrame, hot_rows: int) -> DataFrame:
-    """(k, x, y): the pairs x < y of the members of a class; a class of more than ``hot_rows`` is dealt to several tasks."""
-    large = owned.groupBy("k").count().where(F.col("count") > hot_rows).select("k", F.ceil(F.col("count") / hot_rows).cast("int").alias("salts"))
-    salted = owned.join(large, "k", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-    left = salted.select("k", F.col("id").alias("x"), F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"))
-    right = salted.select("k", F.col("id").alias("y"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    return left.join(right, ["k", "salt"]).where("x < y").select("k", "x", "y")
-
-
 def near_duplicates(papers: DataFrame, fields: tuple[str, ...] = ("full_text", "abstract"), threshold: float = THRESHOLD, id_column: str = "paper_idx", hot_rows: int = HOT_ROWS) -> DataFrame:
     """(paper_a, paper_b, field_name): pairs of different ids whose texts have a Jaccard similarity of at least ``threshold``.
 
@@ -317,7 +308,7 @@ def near_duplicates(papers: DataFrame, fields: tuple[str, ...] = ("full_text", "
     """
     owned, links = class_links(prepared(papers, fields, id_column), fields, threshold, hot_rows)
     across = links.join(owned.select(F.col("k").alias("a"), F.col("id").alias("x")), "a").join(owned.select(F.col("k").alias("b"), F.col("id").alias("y")), "b").where("x <> y").select(F.col("a").alias("k"), "x", "y")
-    found = within_classes(owned, hot_rows).union(across)
+    found = pairs_within(owned, "k", "id", hot_rows).union(across)
     return found.select(F.least("x", "y").alias("paper_a"), F.greatest("x", "y").alias("paper_b"), field_of("k", fields).alias("field_name")).distinct()
 
 

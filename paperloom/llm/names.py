@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.llm.pairs import pairs_within
 from paperloom.session import durable
 
 # Entries that name nobody.
@@ -280,7 +281,5 @@ def author_entities(papers: DataFrame) -> DataFrame:
 
 def name_variants(papers: DataFrame) -> DataFrame:
     """(name_a, name_b): pairs of different strings in ``authors`` that name the same person or organisation, the smaller first."""
-    names = papers.select(F.explode("authors").alias("name"))
-    entities = durable(name_entities(names))
-    other = entities.select(F.col("name").alias("name_b"), "entity")
-    return entities.withColumnRenamed("name", "name_a").join(other, "entity").where("name_a < name_b").select("name_a", "name_b")
+    entities = durable(name_entities(papers.select(F.explode("authors").alias("name"))))
+    return pairs_within(entities, "entity", "name").select(F.col("x").alias("name_a"), F.col("y").alias("name_b"))

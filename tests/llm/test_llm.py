@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, duplicates, languages, leakage, names, scans, sentences, spans, toxicity
+from paperloom.llm import bpe, duplicates, languages, leakage, names, pairs, scans, sentences, spans, toxicity
 
 VOCABULARY = os.path.join(bpe.VOCABULARY_DIR, bpe.VOCABULARY)
 EDGE = ["", " ", "\n", "a", "don't  stop\n\n  now", "中文文本没有空格", "ไทย", "é́", "🙂🙂", "x" * 5000, "1234567 89", "<|endoftext|>", "​ "]
@@ -135,7 +135,7 @@ def test_near_duplicate_groups(spark):
 
 def test_large_classes_are_dealt_to_tasks(spark):
     owned = spark.createDataFrame([(7, i) for i in range(40)] + [(9, 50), (9, 51), (11, 60)], "k long, id long")
-    got = sorted((r.x, r.y) for r in duplicates.within_classes(owned, 6).collect())
+    got = sorted((r.x, r.y) for r in pairs.pairs_within(owned, "k", "id", 6).collect())
     assert got == [(i, j) for i in range(40) for j in range(i + 1, 40)] + [(50, 51)]
 
 

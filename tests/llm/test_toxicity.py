@@ -42,3 +42,16 @@ def test_samples_are_bounded_in_characters(spark):
     assert len(whole.pool) == 10 * 40 + 1 and sum(v["abuse"] for _, v in whole.bags) == 21
     small = toxicity.training_sample(d, r, 100, 100, 1_000)
     assert len(small.pool) <= 51 and 0 < sum(v["abuse"] for _, v in small.bags) <= 6
+
+
+def test_queries_over_the_same_tables_are_trained_once(spark, monkeypatch):
+    d = spark.createDataFrame([(i, "The kiln is warm. You clown." if i % 3 == 0 else "The kiln is warm.", "s") for i in range(30)], "doc_id long, text string, source string")
+    r = spark.createDataFrame([(i, i, "r", "abuse" if i % 3 == 0 else "none", 1) for i in range(20)], "rating_id long, doc_id long, rater string, category string, severity int")
+    times = []
+    real = toxicity.newly_trained
+    monkeypatch.setattr(toxicity, "newly_trained", lambda *a: times.append(1) or real(*a))
+    toxicity.found_content(d, r).count()
+    toxicity.content_rates(d, r).count()
+    assert len(times) == 1
+    toxicity.found_content(d.where("doc_id < 20"), r).count()
+    assert len(times) == 2
