@@ -13,7 +13,8 @@ size against all rows, and where that has too few pairs the threshold join makes
 from __future__ import annotations
 
 import re
-from collections import Counter
+from array import array
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -31,8 +32,10 @@ from paperloom.session import durable
 BLANK = "placeholder"
 BLOCKS = (512, 16_384)  # least and largest number of rows in a block of the block join
 FRONTS = (64, 512, 4096)  # rows of the fronts that look for the first pairs
+MEETING_BYTES, POSTING_BYTES = 32, 16  # of a pair that meets, of a term in a row
 HOT_TERM = 20_000  # postings of a term beyond which its meetings are dealt to several tasks
 HELD_TERMS = 1_000_000  # different terms that a task counts before it hands them on
+HELD_NUMBERS = 4_000_000  # terms of texts that it notes before it adds them up
 
 
 def filled(text: Column) -> Column:
@@ -102,24 +105,33 @@ def corpus_counts(texts: DataFrame, tokens: Tokens, blank: bool = True) -> DataF
     """(term, ctf, df) over all texts, and a row of NULL term whose df is the number of texts; summed in each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
-        texts_with: Counter = Counter()
+        # terms get numbers as they come, so each costs one lookup; the numbers are counted by the array
+        number: defaultdict[str, int] = defaultdict()
+        number.default_factory = number.__len__
+        every, once = array("i"), array("i")
+        ctf = df = np.zeros(0, np.int64)
         n = 0
 
+        def summed(known: np.ndarray, found: array) -> np.ndarray:
+            out = np.bincount(np.frombuffer(found, np.int32), minlength=len(number))
+            out[: len(known)] += known
+            return out
+
         def emitted() -> pa.RecordBatch:
-            known = list(total)
-            return pa.RecordBatch.from_arrays([pa.array(known, pa.string()), pa.array(total.values(), pa.int64()), pa.array([texts_with[t] for t in known], pa.int64())], names=["term", "ctf", "df"])
+            return pa.RecordBatch.from_arrays([pa.array(number.keys(), pa.string()), pa.array(summed(ctf, every), pa.int64()), pa.array(summed(df, once), pa.int64())], names=["term", "ctf", "df"])
 
         for batch in batches:
             for text in batch.column(1).to_pylist():
-                found = tokens(text)
-                total.update(found)
-                texts_with.update(set(found))
+                found = [number[t] for t in tokens(text)]
+                every.extend(found)
+                once.extend(set(found))
                 n += 1
-                if len(total) > HELD_TERMS:
+                if len(number) > HELD_TERMS:
                     yield emitted()
-                    total.clear()
-                    texts_with.clear()
+                    number.clear()
+                    every, once, ctf, df = array("i"), array("i"), ctf[:0], df[:0]
+                elif len(every) > HELD_NUMBERS:
+                    ctf, df, every, once = summed(ctf, every), summed(df, once), array("i"), array("i")
         yield emitted()
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([0], pa.int64()), pa.array([n], pa.int64())], names=["term", "ctf", "df"])
 
@@ -162,7 +174,7 @@ def transform(texts: DataFrame, known: Vocabulary) -> DataFrame:
                 part = batch.slice(at, 1000)
                 ids, sizes, found, weights = [], [0], [], []
                 for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    own = np.array([number[t] for t in fitted.tokens(text) if t in number], np.int64)
+                    own = np.array([k for k in map(number.get, fitted.tokens(text)) if k is not None], np.int64)
                     if len(own):
                         own, tf = np.unique(own, return_counts=True)
                         w = tf * fitted.idf[own]
@@ -255,8 +267,8 @@ def cosine_pairs(rows: DataFrame, threshold: float, above: bool = False, method:
 
     ``method`` is "prefix" (candidates that share a rare term, bounded by what their other terms can
     add, then their dot products) or "blocks" (products of sparse blocks of rows); both give the
-    same pairs. By default the number of meetings on prefix terms decides: where there are more of
-    them than pairs of rows, products are cheaper.
+    same pairs. By default the one decides that has less to shuffle: the meetings on prefix terms, or
+    the rows as often as there are blocks.
     """
     rows = durable(rows)
 
@@ -273,9 +285,9 @@ def cosine_pairs(rows: DataFrame, threshold: float, above: bool = False, method:
     prefix = durable(rows.mapInArrow(prefixes, "idx long, term long, w double, after double"))
     counts = prefix.groupBy("term").count()
     if method is None:
-        n = rows.count()
+        n, postings = rows.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
         met = counts.agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] or 0
-        method = "blocks" if met > n * n / 2 else "prefix"
+        method = "blocks" if met * MEETING_BYTES > postings * POSTING_BYTES * block_count(n, rows) else "prefix"
     if method == "blocks":
         return block_products(rows, threshold, above)
     return prefix_products(rows, prefix, counts, threshold, above, hot_term)
@@ -305,10 +317,14 @@ def prefix_products(rows: DataFrame, prefix: DataFrame, counts: DataFrame, thres
     return pairs.join(a, "idx_a").join(b, "idx_b").select("idx_a", "idx_b", "ta", "wa", "tb", "wb").mapInArrow(dots, PAIR)
 
 
+def block_count(n: int, rows: DataFrame) -> int:
+    """A row goes to every pair of blocks that its own is in, so blocks are as few as memory and cores allow."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-n // BLOCKS[1]), min(-(-n // BLOCKS[0]), int((6 * cores) ** 0.5)))
+
+
 def block_products(rows: DataFrame, threshold: float, above: bool) -> DataFrame:
-    # a row goes to every pair of blocks that its own is in, so blocks are as few as memory and cores allow
-    n, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
-    blocks = max(1, -(-n // BLOCKS[1]), min(-(-n // BLOCKS[0]), int((6 * cores) ** 0.5)))
+    blocks = block_count(rows.count(), rows)
     block = F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int")
     cells = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     cells = cells.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
