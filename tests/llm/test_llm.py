@@ -85,8 +85,12 @@ def test_leakage(spark):
     expected = {(d, i) for d, t in enumerate(docs) for i, q in enumerate(items) if any(key(q)[k : k + 100] in key(t) for k in range(len(key(q)) - 99))}
     a = spark.createDataFrame([*enumerate(docs), (7, None), (8, ""), (0, docs[0])], "doc_id long, text string")
     b = spark.createDataFrame([*enumerate(items), (9, None), (0, items[0])], "item_id long, text string")
-    got = leakage.leaked_items(a, b, block_items=2).collect()
-    assert {tuple(r) for r in got} == expected and len(got) == len(expected) >= 2
+    for block_items in (leakage.BLOCK_ITEMS, 2):  # all items to all tasks, and by a join
+        got = leakage.leaked_items(a, b, block_items=block_items).collect()
+        assert {tuple(r) for r in got} == expected and len(got) == len(expected) >= 2
+    queries = b.where("item_id IS NOT NULL AND length(text) >= 100").distinct()
+    hot = leakage.joined_items(a.where("length(text) >= 100"), queries, leakage.RUN, leakage.SHINGLE, hot_rows=1)
+    assert {tuple(r) for r in hot.collect()} == expected
     assert leakage.leaked_items(a.limit(0), b).count() == leakage.leaked_items(a, b.limit(0)).count() == 0
 
 
