@@ -64,15 +64,18 @@ def best_parser() -> Callable[[bytes], Parsed]:
 
 
 def read_pdfs(spark: SparkSession, path: str, parser: Callable[[bytes], Parsed] | None = None) -> DataFrame:
-    """One row a file under ``path``; a file that can't be parsed has its error as a value."""
+    """One row a file under ``path``; a file that can't be parsed has its error as a value.
+
+    ``parser`` gives a ``Parsed`` or any triple like it, without images also with 0 or None for them.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for where, data in zip(pdf.path, pdf.content):
                 try:
-                    found = (parser or best_parser())(bytes(data))
-                    out.append((where, found.text, [{"text": t, "font_size": s} for t, s in found.lines], [{"page": p, "image_bytes": b} for p, b in found.images], None))
+                    text, lines, images = (parser or best_parser())(bytes(data))
+                    out.append((where, text, [{"text": t, "font_size": s} for t, s in lines], [{"page": p, "image_bytes": b} for p, b in images or []], None))
                 except Exception as e:  # noqa: BLE001 - errors are values
                     out.append((where, None, [], [], f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=["path", "full_text", "lines", "images", "error"])
