@@ -157,3 +157,19 @@ def test_numbers_of_wide_places(spark):
     assert [r.paper_idx for r in A.numbered(rows, "paper_idx", "place", "pos").orderBy("idx").collect()] == [3, 1 << 50, 1 << 50]
     small = A.numbered(rows.where("paper_idx = 3"), "paper_idx", "place", "pos").first()
     assert small.idx == (3 << 6) + (5 << 3) + 5
+
+
+def test_gap_groups_and_what_charts_show(spark, corpus):
+    rows = QUERIES["gap_groups"](spark, corpus).collect()
+    texts = [r.text for r in sorted(rows, key=lambda r: (r.group_id, r.paper_idx, r.text))]
+    groups = Counter(r.group_id for r in rows)
+    assert sorted(groups.values()) == sorted(len(g) for g in naive_clusters(texts, 0.70)) and len(rows) >= 6
+    assert all(len({r.group_id for r in rows if r.text == t}) == 1 for t in set(texts))
+    questions = {r.cluster: r for r in QUERIES["question_clusters"](spark, corpus).collect()}
+    shown = QUERIES["chart_open_questions"](spark, corpus).collect()
+    assert {(r.cluster, r.label, r.papers) for r in shown} == {(q.cluster, q.summary[:80], q.paper_count if q.kind == "convergent" else 1) for q in questions.values()}
+    intros = QUERIES["intro_clusters"](spark, corpus).collect()
+    members = Counter(r.cluster for r in QUERIES["intro_members"](spark, corpus).collect())
+    assert {r.cluster: r.paper_count for r in intros} == dict(members) and sum(members.values()) == 7
+    problems = QUERIES["problem_clusters"](spark, corpus).collect()
+    assert {(r.cluster, r.paper_idx) for r in QUERIES["problem_matrix"](spark, corpus).collect()} == {(r.cluster, int(p)) for r in problems for p in r.papers.split(",")}
