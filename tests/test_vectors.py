@@ -111,6 +111,38 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(21)) and got[102] == 100 and got[201] == 200 and got[250] == 250
 
 
+def block(m, first=0):
+    rows = [np.flatnonzero(r) for r in m]
+    return V.Block(np.arange(first, first + len(m)), np.r_[0, np.cumsum([len(r) for r in rows])], np.concatenate(rows).astype(np.int32), np.concatenate([m[i][r] for i, r in enumerate(rows)]))
+
+
+def test_folded_products_equal_brute_force(monkeypatch):
+    rng = np.random.default_rng(5)
+    m = rng.random((300, 400)) * (rng.random((300, 400)) < 0.05) + np.eye(300, 400) * 0.01
+    m[150:, :200], m[:150, 200:] = 0, 0  # two vocabularies
+    m[150, 399] = m[40][0] = 0.3
+    m[1::2] = m[::2] + 0.1 * (rng.random((150, 400)) < 0.02) * rng.random((150, 400))
+    for sign in (1, -1):
+        m[7] *= sign
+        m /= np.linalg.norm(m, axis=1)[:, None]
+        monkeypatch.setattr(V, "TILE", (64, 32))
+        monkeypatch.setattr(V, "FOLD_MASS", 0.01)  # at least 64 columns for 400 terms
+        s = m @ m.T
+        expected = {(i, j) for i in range(300) for j in range(i + 1, 300) if s[i, j] >= 0.5}
+        whole, low, high = block(m), block(m[:130]), block(m[130:], 130)
+        for parts in (((whole, whole),), ((low, low), (low, high), (high, high))):
+            got = [(min(x), max(x), w) for a, b in parts for i, j, v in V.folded_products(a, b, 400, 0.5, False) for *x, w in zip(i.tolist(), j.tolist(), v.tolist())]
+            assert len(got) == len(expected) and {g[:2] for g in got} == expected and all(abs(s[i, j] - w) < 1e-12 for i, j, w in got)
+
+
+def test_pairs_leave_a_task_in_batches(monkeypatch):
+    monkeypatch.setattr(V, "PAIR_ROWS", 100)
+    m = np.random.default_rng(6).random((60, 5))
+    b = block(m / np.linalg.norm(m, axis=1)[:, None])
+    got = list(V.pair_batches(V.row_products(b, b, 1e-5, True)))
+    assert sum(x.num_rows for x in got) == 60 * 59 // 2 and len(got) > 10 and max(x.num_rows for x in got) < 160
+
+
 def test_ward_clusters_by_component(spark):
     texts = [t for t in corpus(40, 3) if t and t != "the of and"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "idx long, text string")
