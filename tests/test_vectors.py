@@ -111,6 +111,13 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(21)) and got[102] == 100 and got[201] == 200 and got[250] == 250
 
 
+def test_rounds_of_components_leave_nothing_to_the_planner(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "idx_a long, idx_b long")
+    got = C.components(edges)
+    assert got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 1_000
+    assert {tuple(r) for r in got.collect()} == {(i, 0) for i in range(61)}
+
+
 def block(m, first=0):
     rows = [np.flatnonzero(r) for r in m]
     return V.Block(np.arange(first, first + len(m)), np.r_[0, np.cumsum([len(r) for r in rows])], np.concatenate(rows).astype(np.int32), np.concatenate([m[i][r] for i, r in enumerate(rows)]))
