@@ -35,3 +35,8 @@ def test_nearly_all_have_sql():
     """Those without are clusters of Ward and what is made of them, and captions (no look-ahead in the SQL's patterns); test_analyses holds them against plain Python."""
     ward = {"method_clusters", "method_paragraphs", "intro_clusters", "intro_members", "problem_clusters", "problem_matrix", "problem_items", "figure_groups", "figure_items", "figure_stats", "discussion_patterns", "question_clusters", "question_items", "question_stats", "gap_groups", "report_summary", "overview_metrics", "chart_method_clusters", "chart_open_questions"}
     assert set(QUERIES) - set(ORACLE) == ward | {"figure_captions", "table_captions"}
+
+
+def test_labels_of_the_matrix_are_not_joined_to_its_cells(spark):
+    plan = QUERIES["chart_similarity"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "Join" not in plan

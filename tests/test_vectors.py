@@ -168,3 +168,15 @@ def test_empty_and_zero(spark):
     two = spark.createDataFrame([(0, "the"), (1, "kiln kiln"), (2, "harbour")], "idx long, text string")
     joined = C.ward_clusters(V.vectors(two, V.words(), 10), two.select("idx"), 0.75, 2)
     assert joined.count() >= 2  # a text without terms is at distance 0 from the others
+
+
+def test_named_pairs(spark):
+    rows = spark.createDataFrame(list(enumerate(corpus())), "idx long, text string")
+    vectors = V.vectors(rows, V.words(), 5000)
+    named = vectors.withColumn("name", F.when(F.col("idx") % 5 > 0, F.concat(F.lit("n"), "idx")))
+    name = lambda i: f"n{i}" if i % 5 else None
+    for threshold in (1e-5, 0.6):
+        want = {(r.idx_a, name(r.idx_a), r.idx_b, name(r.idx_b), r.similarity) for r in V.cosine_pairs(vectors, threshold, above=True).collect()}
+        got = [tuple(r) for r in V.named_pairs(named, threshold).collect()]
+        assert len(got) == len(want) and {r[:4] for r in got} == {r[:4] for r in want}
+    assert V.named_pairs(named.limit(0), 0.5).count() == 0
